@@ -10,6 +10,7 @@ from annolens.llm import language_id, toxicity
 from annolens.llm.base import is_crc_bucket
 from annolens.llm.exact_dedup import exact_dedup
 from annolens.llm.license_scan import license_digest, license_scan
+from annolens.llm.pii import pii, pii_digest
 from annolens.llm.simhash import simhash_dedup
 
 
@@ -31,6 +32,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"), digest=True)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(pii(_table(spark, sf_dir, "documents")))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = _table(spark, sf_dir, "documents"), is_crc_bucket("doc_id", 4, 2)
     model = language_id.fit(docs, ~held_out)
@@ -45,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_license_scan": op2_license_scan,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_pii": op4_pii,
     "op6_language_id": op6_language_id,
     "op9_simhash": op9_simhash,
 }
