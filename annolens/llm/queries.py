@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from annolens.llm import language_id, toxicity
-from annolens.llm.base import is_crc_bucket
+from annolens.llm.base import is_crc_bucket, new_path
 from annolens.llm.exact_dedup import exact_dedup
 from annolens.llm.license_scan import license_digest, license_scan
+from annolens.llm.packing import pack
 from annolens.llm.pii import pii, pii_digest
 from annolens.llm.simhash import simhash_dedup
+from annolens.llm.token_files import read_tokens, token_index, write_tokens
+
+WORD_TOKENIZER = "word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,12 +41,22 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(pii(_table(spark, sf_dir, "documents")))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = _table(spark, sf_dir, "documents"), is_crc_bucket("doc_id", 4, 2)
     model = language_id.fit(docs, ~held_out)
     return language_id.language_id(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "tokens")
+    write_tokens(_table(spark, sf_dir, "documents"), path, public_tokenizers.path(WORD_TOKENIZER))
+    return token_index(read_tokens(spark, path))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -51,7 +66,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_pii": op4_pii,
+    "op5_packing": op5_packing,
     "op6_language_id": op6_language_id,
+    "op8_token_files": op8_token_files,
     "op9_simhash": op9_simhash,
 }
 
