@@ -23,6 +23,7 @@ def session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) -> Spark
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
     } | conf
     for key, value in settings.items():
