@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from annolens.llm import language_id, toxicity
+from annolens.llm import byte_bpe, language_id, toxicity
 from annolens.llm.base import is_crc_bucket, new_path
 from annolens.llm.exact_dedup import exact_dedup
 from annolens.llm.license_scan import license_digest, license_scan
@@ -16,6 +16,7 @@ from annolens.llm.pii import pii, pii_digest
 from annolens.llm.simhash import simhash_dedup
 from annolens.llm.token_files import read_tokens, token_index, write_tokens
 
+BYTE_TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 WORD_TOKENIZER = "word_bpe_49k.json"
 
 
@@ -51,6 +52,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.bpe_digest(*byte_bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_TOKENIZER), public_tokenizers.PATTERN))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tokens")
     write_tokens(_table(spark, sf_dir, "documents"), path, public_tokenizers.path(WORD_TOKENIZER))
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pii": op4_pii,
     "op5_packing": op5_packing,
     "op6_language_id": op6_language_id,
+    "op7_byte_bpe": op7_byte_bpe,
     "op8_token_files": op8_token_files,
     "op9_simhash": op9_simhash,
 }
