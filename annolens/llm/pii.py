@@ -189,18 +189,55 @@ def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, roun
     return _pii(narrow(docs, id_col, text_col), rounds)
 
 
-def _pii(rows: DataFrame, rounds: int) -> DataFrame:
-    seen = materialize(recognise(rows), "pii-seen")
+def discovered(seen: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(added_id, added_mark, added): the spans that the bootstrap adds to rows of recognise()."""
     each = seen.where(F.size("seen") > 0).select("doc_id", "mark", F.explode("seen").alias("s")).select("doc_id", "mark", "s.*")
     edges = materialize(each.select(F.explode("patterns").alias("pattern"), "instance", "kind").distinct(), "pii-edges")
     found = bootstrap(edges, rounds=rounds).select("instance", F.col("kind").alias("guess"))
     added = each.where("kind is null").join(found, "instance").groupBy("doc_id", "mark").agg(F.collect_set(F.struct(F.col("guess").alias("kind"), "start", "end")).alias("added"))
-    added = added.withColumnRenamed("doc_id", "added_id").withColumnRenamed("mark", "added_mark")
-    joined = seen.join(added, F.col("mark").eqNullSafe(F.col("added_mark")) & F.col("doc_id").eqNullSafe(F.col("added_id")), "left")
+    return added.withColumnRenamed("doc_id", "added_id").withColumnRenamed("mark", "added_mark")
+
+
+def _same_row() -> Column:
+    return F.col("mark").eqNullSafe(F.col("added_mark")) & F.col("doc_id").eqNullSafe(F.col("added_id"))
+
+
+def _pii(rows: DataFrame, rounds: int) -> DataFrame:
+    seen = materialize(recognise(rows), "pii-seen")
+    joined = seen.join(discovered(seen, rounds), _same_row(), "left")
     every = F.concat("base", F.coalesce("added", F.array().cast(f"array<{_SPAN}>")))
     return joined.select("doc_id", "mark", "base", _in_order(every).alias("spans"))
 
 
+#: Rows with added spans up to which they are broadcast; beyond, texts are shuffled to meet them.
+FEW_ROWS = 200_000
+
+
+def redacted(docs: DataFrame, *, rounds: int = ROUNDS, few: int = FEW_ROWS) -> DataFrame:
+    """docs, a table with doc_id and text, with every span that pii() finds replaced by its kind in brackets.
+
+    Null texts stay null, n_chars (if there is such a column) follows the new text, all else stays as it is.
+    """
+    added = materialize(discovered(materialize(recognise(narrow(docs)), "pii-seen"), rounds), "pii-added")
+    rows = docs.withColumn("mark", F.xxhash64(F.coalesce("text", F.lit(""))))
+    if added.isEmpty():
+        joined = rows.withColumn("added", F.lit(None).cast(f"array<{_SPAN}>"))
+    else:
+        joined = rows.join(F.broadcast(added) if added.count() <= few else added, _same_row(), "left")
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, more in zip(batch.column("text").to_pylist(), batch.column("added").to_pylist(), strict=True):
+                extra = [(s["kind"], s["start"], s["end"]) for s in more or ()]
+                texts.append(redact(text, base_spans(text) + extra) if text else text)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, batch.column("text").type) if n == "text" else batch.column(n) for n in names], names)
+
+    out = joined.select(*names, "added").mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else out
+
+
 def _in_order(spans: Column) -> Column:
     """Spans by kind as listed, then by start."""
     place = F.array(*map(F.lit, KINDS))

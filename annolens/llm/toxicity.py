@@ -225,3 +225,17 @@ def toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text
             )
 
     return narrow(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, score double, predicted int, top_word double")
+
+
+def accepted(docs: DataFrame, model: ToxicityModel, *, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, a table with a text column, that are not predicted toxic, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.known, model.context))
+    weights, names = model.weights, docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(*shared.value)
+        for batch in batches:
+            keep = [score_of(scorer.features(x), weights) < threshold for x in byte_texts(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns], names)
+
+    return docs.mapInArrow(run, docs.schema)
