@@ -42,8 +42,8 @@ def shingle_spans(text: bytes, size: int) -> tuple[bytes, list[int], list[int]]:
     return joined, starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist()
 
 
-def fingerprint(text: bytes, size: int, width: int = 1) -> bytes:
-    """width * 8 bytes, most significant bit first; all zero for a text without words.
+def fingerprint(text: bytes, size: int, width: int = 1, distinct: bool = False) -> bytes:
+    """width * 8 bytes, most significant bit first; all zero for a text without words. distinct: each shingle counts once.
 
     The first 64 bits come from XXH64 with seed 42, each further 64 from an odd multiple of it, mixed.
     """
@@ -52,14 +52,19 @@ def fingerprint(text: bytes, size: int, width: int = 1) -> bytes:
         return bytes(8 * width)
     digest, seed = xxhash.xxh64_digest, SEED
     counts = np.zeros(64 * width, np.int64)
-    for at in range(0, len(starts), CHUNK):
+    total = len(starts)
+    if distinct:
+        places = {joined[a:b]: (a, b) for a, b in zip(starts, ends, strict=True)}
+        starts, ends = ([p[k] for p in places.values()] for k in (0, 1))
+        total = len(starts)
+    for at in range(0, total, CHUNK):
         hashes = b"".join([digest(joined[a:b], seed) for a, b in zip(starts[at : at + CHUNK], ends[at : at + CHUNK], strict=True)])
         first = np.frombuffer(hashes, ">u8")
         for k in range(width):
             block = first if not k else _mixed(first, k)
             bits = np.unpackbits(block.view(np.uint8)).reshape(-1, 64)
             counts[64 * k : 64 * k + 64] += bits.sum(axis=0, dtype=np.uint32)
-    return np.packbits(2 * counts > len(starts)).tobytes()
+    return np.packbits(2 * counts > total).tobytes()
 
 
 def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -70,13 +75,13 @@ def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return x.astype(">u8")
 
 
-def fingerprints(docs: DataFrame, size: int, width: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, size: int, width: int = 1, distinct: bool = False) -> DataFrame:
     """(doc_id, f0..f{width-1}): the fingerprint of each row as signed 64-bit words."""
     names = [f"f{k}" for k in range(width)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = b"".join([fingerprint(x, size, width) for x in byte_texts(batch.column(1))])
+            prints = b"".join([fingerprint(x, size, width, distinct) for x in byte_texts(batch.column(1))])
             words = np.frombuffer(prints, ">i8").astype(np.int64).reshape(-1, width)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(width))], ["doc_id", *names])
 
