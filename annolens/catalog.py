@@ -1,10 +1,8 @@
-"""Query registry: name -> function of (spark, sf_dir), and the SQL that must give the same rows."""
+"""The library's own queries, gathered from the plan modules."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from annolens.plans import study_queries, text_queries  # noqa: F401  register on import
+from annolens.plans.registry import ORACLE, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -49,3 +50,17 @@ def ship(spark: SparkSession) -> None:
             archive.write(file, file.relative_to(ROOT.parent))
     context.addPyFile(path)
     context._annolens_shipped = True
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """df as a table in the folder that spark.checkpoint.dir names (the session's own if unset): later steps read it instead of recomputing it."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        context = spark.sparkContext
+        root = getattr(context, "_annolens_pinned", None)
+        if not root:
+            root = context._annolens_pinned = tempfile.mkdtemp(prefix="annolens-pinned-")
+    path = f"{root.rstrip('/')}/annolens/pinned-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
