@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -54,6 +55,17 @@ def byte_texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+#: Rows of a batch that Python holds as objects at once.
+SLICE = 256
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Batches cut into parts of few rows: what a worker holds beside Arrow's own memory stays small, however long the texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def is_crc_bucket(id_col: str, modulus: int, remainder: int):
     """crc32 of an id as text, modulo a number, equals a remainder."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus == remainder

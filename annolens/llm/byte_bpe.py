@@ -24,7 +24,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annolens.llm.base import narrow
+from annolens.llm.base import narrow, slices
 
 # Fixed value: the tokenizer's word pattern in Java's syntax; white space is Unicode's White_Space.
 _SPACE = r"\t-\r\x{85}\p{Z}"
@@ -147,7 +147,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = library(path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [coder.encode_ordinary(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annolens.llm.base import byte_texts, narrow
+from annolens.llm.base import byte_texts, narrow, slices
 
 #: Documents of each language in the sample, in expectation, and bytes of its dictionary at most.
 SAMPLE_DOCS = 300
@@ -116,7 +116,7 @@ def language_id(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = Classifier(model)
-        for batch in batches:
+        for batch in slices(batches):
             found = [classifier.predict(x) for x in byte_texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64()), pa.array([s < margin for _, s in found], pa.bool_())],

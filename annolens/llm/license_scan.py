@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annolens.llm.base import byte_texts, narrow
+from annolens.llm.base import byte_texts, narrow, slices
 
 # Phrases and their labels.
 BASE = {
@@ -127,7 +127,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = scanner(fixed)
-        for batch in batches:
+        for batch in slices(batches):
             counts, places, spans = [], [], []
             for text in byte_texts(batch.column(1)):
                 words = text.translate(WORDS).split()

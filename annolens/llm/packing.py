@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annolens.llm.base import narrow
+from annolens.llm.base import narrow, slices
 from annolens.llm.word_tokens import word_tokenizer
 
 WINDOW = 4096
@@ -157,15 +157,15 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     scores go to the document that was read first. Repeated rows and null ids are packed like others; an empty table
     gives no pieces.
     """
-    kind = dict(docs.select(F.col(id_col).alias("doc_id")).dtypes)["doc_id"]
+    kind, exact = dict(docs.select(F.col(id_col).alias("doc_id")).dtypes)["doc_id"], word_tokenizer(tokenizer).exact
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_tokenizer(tokenizer)
+        encoder = word_tokenizer(tokenizer, exact)
         packer = Packer(TaskContext.get().partitionId() << 33, window)
         waiting: list[tuple[object, np.ndarray]] = []
         tokens = 0
-        for batch in batches:
+        for batch in slices(batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.frombuffer(encoder.encode(text) + end, "<u4")
                 waiting.append((doc, ids))

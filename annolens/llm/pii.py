@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annolens.llm.base import materialize, narrow
+from annolens.llm.base import materialize, narrow, slices
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -144,7 +144,7 @@ def recognise(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             base, seen = [], []
             for text in batch.column(2).to_pylist():
                 found = base_spans(text)
@@ -227,7 +227,7 @@ def redacted(docs: DataFrame, *, rounds: int = ROUNDS, few: int = FEW_ROWS) -> D
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = []
             for text, more in zip(batch.column("text").to_pylist(), batch.column("added").to_pylist(), strict=True):
                 extra = [(s["kind"], s["start"], s["end"]) for s in more or ()]

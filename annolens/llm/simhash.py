@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annolens.llm.base import byte_texts, materialize, narrow
+from annolens.llm.base import byte_texts, materialize, narrow, slices
 from annolens.llm.components import components
 
 SEED = 42
@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame, size: int, width: int = 1, distinct: bool = Fa
     names = [f"f{k}" for k in range(width)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             prints = b"".join([fingerprint(x, size, width, distinct) for x in byte_texts(batch.column(1))])
             words = np.frombuffer(prints, ">i8").astype(np.int64).reshape(-1, width)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(width))], ["doc_id", *names])

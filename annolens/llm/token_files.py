@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from annolens.llm.base import narrow
+from annolens.llm.base import narrow, slices
 from annolens.llm.word_tokens import word_tokenizer
 
 END_ID = 2
@@ -31,12 +31,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     Every document ends with end_id; a null or empty text is that id alone. Null ids come first, rows of one id in the order
     of their texts' hashes. An empty table writes an empty folder of files.
     """
-    kind = dict(docs.select(F.col(id_col).alias("doc_id")).dtypes)["doc_id"]
+    kind, exact = dict(docs.select(F.col(id_col).alias("doc_id")).dtypes)["doc_id"], word_tokenizer(tokenizer).exact
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, before = word_tokenizer(tokenizer), 0
-        for batch in batches:
+        encoder, before = word_tokenizer(tokenizer, exact), 0
+        for batch in slices(batches):
             ids = [encoder.encode(x) + end for x in batch.column(1).to_pylist()]
             sizes = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
             offsets = np.concatenate(([0], np.cumsum(sizes)))
@@ -68,9 +68,9 @@ def token_index(tokens: DataFrame) -> DataFrame:
     kind = dict(tokens.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             lists = batch.column(1)
-            values, offsets = lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False), lists.offsets.to_numpy()
+            values, offsets = lists.values.to_numpy(zero_copy_only=False).view("<u4"), lists.offsets.to_numpy()
             crcs = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crcs, pa.int64()), batch.column(2), batch.column(3)], ["doc_id", "n_tokens", "ids_crc32", "before", "shard"])
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annolens.llm.base import byte_texts, narrow
+from annolens.llm.base import byte_texts, narrow, slices
 
 ORDER = 5
 DISCOUNT = 0.75
@@ -29,7 +29,7 @@ SAMPLE_DOCS = 8000
 #: Score from which a document is predicted toxic.
 THRESHOLD = 0.7
 #: Words whose evidence a worker keeps at hand.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 100_000
 
 _MARKS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or c == 39 else 32 for c in range(256))
 
@@ -172,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, sample: int = SAMP
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, Counter] = defaultdict(Counter)
-        for batch in batches:
+        for batch in slices(batches):
             for text, toxic, half in zip(byte_texts(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 for word in set(words_of(text)):
                     seen[2 * half + toxic].update(grams(padded(word)))
@@ -191,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, sample: int = SAMP
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             found = [scorer.features(x) for x in byte_texts(batch.column(0))]
             yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array([f[k] for f in found], pa.float64()) for k in range(2))], ["toxic", "top", "mean"])
 
@@ -216,7 +216,7 @@ def toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             found = [scorer.features(x) for x in byte_texts(batch.column(1))]
             scores = [score_of(f, weights) for f in found]
             yield pa.RecordBatch.from_arrays(
@@ -234,7 +234,7 @@ def accepted(docs: DataFrame, model: ToxicityModel, *, threshold: float = THRESH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             keep = [score_of(scorer.features(x), weights) < threshold for x in byte_texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns], names)
 

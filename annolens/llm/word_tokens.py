@@ -4,7 +4,7 @@ The tokenizers library is the reference. In this vocabulary white space only sep
 one, so texts in Latin-1 are split into the library's words here, each distinct word is merged once by tiktoken's core (under
 ranks read from the tokenizer file's merges; a byte that UTF-8 never uses stands for the end of a word) and kept in a bounded
 memory. All other texts go chunk by chunk, those that Latin-1 cannot write through the library itself, as do texts with
-the control characters that only Python counts as space. On loading, a sample of the vocabulary is encoded both ways,
+the control characters that only Python counts as space. The driver encodes a sample of the vocabulary both ways,
 and if any id differs everything goes through the library.
 """
 
@@ -15,7 +15,7 @@ import os
 import re
 import unicodedata
 from collections.abc import Callable
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import tiktoken
@@ -25,7 +25,7 @@ _END = b"\xff"
 # The library's threads would compete with Spark's tasks.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
@@ -61,18 +61,28 @@ class _Memory(dict):
 
 
 class WordTokenizer:
-    def __init__(self, path: str, kept: int = KEPT_WORDS):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+    def __init__(self, path: str, kept: int = KEPT_WORDS, exact: bool | None = None):
+        """exact: what an earlier load has found; unless it is given, the two ways are compared now."""
+        self.path = path
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.memory = _Memory(self._merged, kept)
         self._load_ranks(spec["model"])
-        words = [w[:-4] for w in spec["model"]["vocab"] if w.endswith("</w>")]
+        self.exact = self._agrees(spec["model"]["vocab"]) if exact is None else exact
+
+    @cached_property
+    def library(self):
+        """The tokenizers library's own object, which few texts need."""
+        from tokenizers import Tokenizer
+
+        loaded = Tokenizer.from_file(self.path)
+        loaded.encode_special_tokens = True
+        return loaded
+
+    def _agrees(self, vocabulary: dict[str, int]) -> bool:
+        words = [w[:-4] for w in vocabulary if w.endswith("</w>")]
         sample = [w for w in words if w.isascii() and w.isalpha() and w.islower()][::16]
-        self.exact = [self._merged(w) for w in sample] == [self._by_library(w) for w in sample]
+        return [self._merged(w) for w in sample] == [self._by_library(w) for w in sample]
 
     def _load_ranks(self, model: dict) -> None:
         alphabet, suffix = _byte_alphabet(), model["end_of_word_suffix"]
@@ -124,5 +134,5 @@ def _is_latin(text: str) -> bool:
 
 
 @cache
-def word_tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+def word_tokenizer(path: str, exact: bool | None = None) -> WordTokenizer:
+    return WordTokenizer(path, exact=exact)
