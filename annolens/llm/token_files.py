@@ -77,7 +77,7 @@ def token_index(tokens: DataFrame) -> DataFrame:
     rows = tokens.select("doc_id", "ids", "before", "shard").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_crc32 long, before long, shard int")
     # One row a file: its last document tells its total. So many rows as there are files, whatever the documents.
     sums = tokens.groupBy("shard").agg(F.max(F.col("before") + F.size("ids")).alias("total"))
-    starts = sums.agg(F.array_sort(F.collect_list(F.struct("shard", "total"))).alias("all")).select(
-        F.explode(F.transform(F.sequence(F.lit(1), F.size("all")), lambda k: F.struct(F.element_at("all", k)["shard"].alias("shard"), F.aggregate(F.slice("all", 1, k - 1), F.lit(0).cast("long"), lambda s, x: s + x["total"]).alias("base")))).alias("x")
-    ).select("x.*")
+    every = sums.agg(F.array_sort(F.collect_list(F.struct("shard", "total"))).alias("all"))
+    before = F.transform("all", lambda x, k: F.struct(x["shard"].alias("shard"), F.aggregate(F.slice("all", F.lit(1), k), F.lit(0).cast("long"), lambda s, y: s + y["total"]).alias("base")))
+    starts = every.select(F.explode(before).alias("x")).select("x.*")
     return rows.join(F.broadcast(starts), "shard").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
