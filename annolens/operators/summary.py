@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from annolens.operators.validate import DIMENSIONS
 
 ARMS = ("without_spec", "with_spec", "upstream")
-STYLE = DIMENSIONS[:4]
+STYLE = DIMENSIONS[:4]  # of a study with other names, its first four
 #: A deficit from which a reader notices.
 NOTICEABLE = 2
 SEED = 20260911
@@ -55,15 +55,15 @@ def summarize(grades: DataFrame) -> DataFrame:
     return mean.unionByName(paired).unionByName(raters)
 
 
-def passes_screen(grades: DataFrame) -> DataFrame:
+def passes_screen(grades: DataFrame, style: tuple[str, ...] = STYLE) -> DataFrame:
     """(passes): no severe regression of meaning, meaning and usefulness no worse, some dimension of style better. Advisory."""
     by = deltas(unit_means(grades)).groupBy("dimension").agg(F.avg("delta").alias("m"), F.max("delta").alias("worst"))
     at = lambda name, c: F.max(F.when(F.col("dimension") == name, F.col(c)))
-    better = F.bool_or(F.col("dimension").isin(*STYLE) & (F.col("m") < 0))
+    better = F.bool_or(F.col("dimension").isin(*style) & (F.col("m") < 0))
     return by.agg(((at("meaning", "worst") < 2) & (at("meaning", "m") <= 0) & (at("usefulness", "m") <= 0) & better).alias("passes"))
 
 
-def criteria(grades: DataFrame, measured: DataFrame, optimal: DataFrame | None = None) -> DataFrame:
+def criteria(grades: DataFrame, measured: DataFrame, optimal: DataFrame | None = None, style: tuple[str, ...] = STYLE) -> DataFrame:
     """(id, repeat, arm, precondition, clean, effective, invasive, optimal) of each generated answer.
 
     measured: (id, repeat, arm, band, restatement, foreign_per_100) for every arm, upstream included; optimal: (id, repeat, arm, passed)
@@ -71,7 +71,7 @@ def criteria(grades: DataFrame, measured: DataFrame, optimal: DataFrame | None =
     """
     means = unit_means(grades)
     wide = means.groupBy("id", "repeat", "arm").agg(
-        F.max(F.when(F.col("dimension") == "meaning", F.col("grade"))).alias("meaning"), F.max(F.when(F.col("dimension") == "usefulness", F.col("grade"))).alias("usefulness"), F.max(F.when(F.col("dimension").isin(*STYLE), F.col("grade"))).alias("style")
+        F.max(F.when(F.col("dimension") == "meaning", F.col("grade"))).alias("meaning"), F.max(F.when(F.col("dimension") == "usefulness", F.col("grade"))).alias("usefulness"), F.max(F.when(F.col("dimension").isin(*style), F.col("grade"))).alias("style")
     )
     upstream = measured.where("arm = 'upstream'").select("id", "repeat", *[F.col(c).alias(f"up_{c}") for c in ("band", "restatement", "foreign_per_100")])
     rows = wide.where("arm <> 'upstream'").join(measured, ["id", "repeat", "arm"]).join(upstream, ["id", "repeat"])
@@ -83,7 +83,7 @@ def criteria(grades: DataFrame, measured: DataFrame, optimal: DataFrame | None =
     )
 
 
-def seeded_intervals(delta: DataFrame, samples: int = 5000, seed: int = SEED) -> DataFrame:
+def seeded_intervals(delta: DataFrame, samples: int = 5000, seed: int = SEED, dimensions: tuple[str, ...] = DIMENSIONS) -> DataFrame:
     """(dimension, mean, low, high): percentile intervals with Python's generator, so that published ones can be matched bit by bit.
 
     A dimension's values are drawn in the order of (id, repeat), under the seed plus the dimension's place. They are one row a case of
@@ -93,13 +93,19 @@ def seeded_intervals(delta: DataFrame, samples: int = 5000, seed: int = SEED) ->
     def one(batch: pd.DataFrame) -> pd.DataFrame:
         values = batch.sort_values(["id", "repeat"])["delta"].tolist()
         name = batch["dimension"].iloc[0]
-        draw = random.Random(seed + DIMENSIONS.index(name))
+        draw = random.Random(seed + dimensions.index(name))
         found = sorted(sum(draw.choice(values) for _ in values) / len(values) for _ in range(samples))
         return pd.DataFrame([(name, sum(values) / len(values), found[int(samples * 0.025)], found[int(samples * 0.975)])], columns=["dimension", "mean", "low", "high"])
 
     return delta.groupBy("dimension").applyInPandas(one, "dimension string, mean double, low double, high double")
 
 
+def tasks(cases: DataFrame, arms: tuple[str, ...] = ARMS[:2], repeats: int = 1, seed: int = SEED) -> DataFrame:
+    """(id, arm, repeat, place): every answer a study asks for, in an order that a hash of the seed gives."""
+    each = cases.select("id", F.explode(F.array(*map(F.lit, arms))).alias("arm")).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    return each.withColumn("place", F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"), "arm", F.col("repeat").cast("string")), 256))
+
+
 def file_sets(rows: DataFrame, least: int = 3) -> DataFrame:
     """(path, arm, comments): answers of a file in the order of their lines, for files with enough of them."""
     w = Window.partitionBy("path", "arm")

@@ -47,16 +47,17 @@ def quoted_in(quotes: Column, text: Column) -> Column:
     return F.forall(quotes, lambda q: (F.length(normalise(q)) > 0) & F.contains(normalise(text), normalise(q)))
 
 
-DIMENSIONS = ("claudishness", "words", "structure", "simplicity", "meaning", "usefulness")
+#: Dimensions of a grade. Studies name the first, the overall deficit of style, after their own rubric: pass their names where they differ.
+DIMENSIONS = ("style", "words", "structure", "simplicity", "meaning", "usefulness")
 
 
-def grade_checks(answer: str, labels: list[str]) -> list[Check]:
+def grade_checks(answer: str, labels: list[str], dimensions: tuple[str, ...] = DIMENSIONS) -> list[Check]:
     """Checks of a grading answer, a JSON object label -> {dimension: 0..4 whole number}, in VARIANT so that booleans and fractions are no numbers."""
     raw = F.col(answer)
     checks: list[Check] = [("answer is not JSON", raw.isNull() | F.try_parse_json(raw).isNull()), ("labels differ from those asked for", ~exact_keys(raw, labels))]
     bad = []
     for label in labels:
-        for d in DIMENSIONS:
+        for d in dimensions:
             at = F.try_variant_get(F.try_parse_json(raw), f"$.{label}.{d}", "string")
             kind = F.schema_of_variant(F.coalesce(F.try_variant_get(F.try_parse_json(raw), f"$.{label}.{d}", "variant"), F.parse_json(F.lit("null"))))
             bad.append((kind != "BIGINT") | F.coalesce(~at.cast("int").between(0, 4), F.lit(True)))

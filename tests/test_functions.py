@@ -68,6 +68,19 @@ def test_patch_content_that_looks_like_headers():
     assert part["removed"] == ["-- old"] and part["added"] == ["++ new"] and part["touched"] == [1]
 
 
+def test_patches_made_and_applied():
+    before, after = "a\nb\nc\n", "a\nx\nc\nd\n"
+    diff = patch.unified(before, after, "a.cpp")
+    assert patch.applied_patch(diff, {"a.cpp": before}) == patch.shape({"a.cpp": before}, {"a.cpp": after})
+    with pytest.raises(patch.PatchError):
+        patch.applied_patch(diff, {"a.cpp": "other\n"})
+
+
+def test_tasks(spark):
+    got = summary.tasks(spark.createDataFrame([("a",), ("b",)], "id string"), repeats=2).collect()
+    assert len(got) == 8 and len({r.place for r in got}) == 8
+
+
 def test_capped_prefix_equals_a_walk(spark):
     random.seed(1)
     rows = [(k, random.choice("ab"), random.choice("pqr"), f"{random.random():.9f}") for k in range(300)]
@@ -106,7 +119,7 @@ def test_statistics(spark):
 
 
 def test_validation(spark):
-    good = '{"C1": {"claudishness": 0, "words": 1, "structure": 2, "simplicity": 3, "meaning": 4, "usefulness": 0}}'
+    good = '{"C1": {"style": 0, "words": 1, "structure": 2, "simplicity": 3, "meaning": 4, "usefulness": 0}}'
     rows = spark.createDataFrame([(good,), (good.replace("4", "5"),), (good.replace("4", "true"),), ('{"C2": {}}',), ("nope",), (None,)], "a string")
     got = [r[0] for r in rows.select(first_reason(grade_checks("a", ["C1"]))).collect()]
     assert got[0] == "valid" and got[1] == got[2] == "a grade is not a whole number from 0 to 4"
@@ -129,7 +142,7 @@ def test_summary(spark):
 
 def test_seeded_interval_is_pythons(spark):
     values = [0.0, 1.0, -1.0, 2.0, 0.5]
-    delta = spark.createDataFrame([(f"{k}", 0, "claudishness", v) for k, v in enumerate(values)], "id string, repeat int, dimension string, delta double")
+    delta = spark.createDataFrame([(f"{k}", 0, "style", v) for k, v in enumerate(values)], "id string, repeat int, dimension string, delta double")
     draw = random.Random(summary.SEED)
     want = sorted(sum(draw.choice(values) for _ in values) / 5 for _ in range(200))
     got = summary.seeded_intervals(delta, samples=200).first()
