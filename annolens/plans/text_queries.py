@@ -9,7 +9,7 @@ from annolens.functions import text as T
 from annolens.operators.distance import js_divergence
 from annolens.operators.sampling import band_targets, capped_prefix, nested_take, stratified_quota
 from annolens.plans.registry import query
-from annolens.session import table
+from annolens.session import spread, table
 
 SEED = 20260911
 
@@ -42,7 +42,7 @@ MEASURES = ", ".join(f"round({m}, 6) AS {m}" if "_per_" in m or m.endswith(("fra
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def profiled(docs: DataFrame) -> DataFrame:

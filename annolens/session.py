@@ -39,6 +39,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores if its scan has fewer parts than half of them, as a small file of one row group has; else df itself.
+
+    For expressions that cost more than moving a row: texts under regular expressions. Large tables come in many parts and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() * 2 < cores else df
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors' Python workers, once per application."""
     context = spark.sparkContext
