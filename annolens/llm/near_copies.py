@@ -1,153 +1,213 @@
-"""Near copies by similarity of shingles: wide SimHash fingerprints on a pigeonring index.
+"""Near copies by similarity of shingles: wide SimHash fingerprints in an index of bit samples.
 
 Two texts whose shingle sets have Jaccard similarity s have a cosine of 2s / (1 + s), so their fingerprints are expected to
-differ in acos(cosine) / pi of the bits: for 0.8 and 256 bits that is 38. Such a budget leaves no segment of a useful length free of
-differences for certain, so here the index is one of high recall rather than a guarantee: keys are chains of
-consecutive segments of four bits, from every second segment of the ring, that agree exactly. With chains of 16 bits, the 32 keys of
-a pair at similarity 0.8 meet at least once nine times in ten, at 0.9 always but for one in several hundred. Longer chains for
-more documents keep buckets small.
-
-A bucket of at most `bucket` fingerprints is compared pair by pair, and each member reports the least one that it reaches there, so what
-is written is linear in the rows. A fuller bucket is compared with its first member alone, which links a group of near copies in one
-pass; if that leaves any member out, all of them go on to chains two segments longer, until their buckets are small.
-Nothing is dropped, and no bucket is held in memory: rows stream by in order of their key.
+differ in acos(cosine) / pi of the bits: for 0.8 and 256 bits that is 38. Pairs that differ in no more bits are linked.
+
+The index has many tables, each keyed by bits of its own choice among the 256. Both numbers follow from the count of fingerprints, as
+for embeddings: a key is so long that a bucket holds about FULL unrelated fingerprints, and there are so many tables that
+a pair at the threshold and within the budget meets with a fixed probability, at every size. This is bit sampling, not pigeonring: a budget of 38
+of 256 bits leaves no segment of a useful length free of differences for certain.
+
+All pairs of a bucket are compared; one counts in the first table where it meets. No bucket is too full for that: it is in one task.
+A row proposes its nearest `links` candidates in a bucket; where there are more, the bucket is looked at again for the next ones,
+seven times as many and so on, without the pairs that lie in one class by then, until none is left out.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annolens.llm.base import materialize, narrow
+from annolens.llm.base import materialize, narrow, slices
 from annolens.llm.components import components
-from annolens.llm.embedding_dedup import roots
-from annolens.llm.simhash import fingerprints
+from annolens.llm.simhash import SEED, fingerprints
 
 WIDTH = 4
 SIZE = 5
 SIMILARITY = 0.8
-BUCKET = 64
+RECALL = 0.99
+#: Standard errors of the distance at the threshold that a candidate may lie beyond it.
+ERRORS = 0.0
+FULL = 512
+BLOCK = 4096
+LINKS = 4
 WORDS = [f"f{k}" for k in range(WIDTH)]
 
 
-def budget(similarity: float, bits: int) -> int:
-    """Differing bits that are expected at a Jaccard similarity."""
-    return math.floor(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-
-
-def plan(count: int, segments: int) -> tuple[int, int]:
-    """(segments in a chain, step between chains) for so many fingerprints."""
-    bits = min(24, max(16, math.ceil(math.log2(max(2, count))) - 3))
-    chain = -(-bits // 4)
-    return chain, 2 if chain == 4 else 1
-
-
-def _chain(start: Column, length: int) -> Column:
-    """The chain of `length` segments from `start` on, hashed with where it starts."""
-    return F.xxhash64(start, F.substring(F.concat("ring", "ring"), start + 1, F.lit(length)))
-
-
-def _ring() -> Column:
-    return F.concat(*[F.lpad(F.hex(w), 16, "0") for w in WORDS])
-
-
-def _run(batches: Iterator[pa.RecordBatch], most: int, bucket: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, rep, f0..) sorted by key and rep -> links (u, v), one a linked row at most, and (key) of full buckets that one row did not link."""
-    rest: list[np.ndarray] | None = None
-    pivot: tuple[int, int, np.ndarray] | None = None  # key, rep and words of the first row of a full bucket that is still going on
-
-    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(a ^ b).sum(axis=-1) <= most
-
-    def out(u: np.ndarray, v: np.ndarray, left: list[int]) -> pa.RecordBatch:
-        nothing = [None] * len(left)
-        return pa.RecordBatch.from_arrays([pa.array([*u.tolist(), *nothing], pa.int64()), pa.array([*v.tolist(), *nothing], pa.int64()), pa.array([None] * len(u) + left, pa.int64())], ["u", "v", "key"])
-
-    def full(rows: list[np.ndarray]) -> pa.RecordBatch:
-        nonlocal pivot
-        key, rep, words = rows
-        if pivot is None or pivot[0] != key[0]:
-            pivot = (int(key[0]), int(rep[0]), words[0])
-        hit, other = near(words, pivot[2]), rep != pivot[1]
-        linked = rep[hit & other]
-        return out(linked, np.full(len(linked), pivot[1]), [pivot[0]] if not hit.all() else [])
-
-    def small(rows: list[np.ndarray]) -> pa.RecordBatch:
-        key, rep, words = rows
-        i, j = [], []
-        for d in range(1, min(bucket, len(key))):
-            at = np.flatnonzero(key[d:] == key[:-d])
-            if not len(at):
+def budget(similarity: float, bits: int, errors: float = 0.0) -> int:
+    """Differing bits that are expected at a Jaccard similarity, and so many standard errors more."""
+    share = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    return math.floor(bits * share + errors * math.sqrt(bits * share * (1 - share)))
+
+
+@cache
+def found(similarity: float, bits: int, most: int, length: int, tables: int) -> float:
+    """Probability that a pair differs in `most` bits at most and shares the key of one table."""
+    share = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    total = 0.0
+    for d in range(most + 1):
+        met = math.comb(bits - d, length) / math.comb(bits, length)
+        total += math.comb(bits, d) * share**d * (1 - share) ** (bits - d) * (1 - (1 - met) ** tables)
+    return total
+
+
+def shape_of(count: int, similarity: float, recall: float, bits: int, most: int) -> tuple[int, int]:
+    """(bits of a key, tables) for so many fingerprints."""
+    length = max(4, min(32, math.ceil(math.log2(max(2, count) / FULL))))
+    tables = 1
+    while found(similarity, bits, most, length, tables) < min(recall, 0.999 * found(similarity, bits, most, 0, 1)):
+        tables += 1
+    return length, tables
+
+
+@cache
+def places(bits: int, length: int, tables: int) -> np.ndarray:
+    """(tables, length): the bits that make each table's key."""
+    random = np.random.default_rng([SEED, bits, length])
+    return np.stack([np.sort(random.permutation(bits)[:length]) for _ in range(tables)])
+
+
+def keys_of(words: np.ndarray, length: int, tables: int) -> np.ndarray:
+    """(n, tables) integers, no two tables with one in common."""
+    every = np.unpackbits(words.astype(">u8").view(np.uint8).reshape(len(words), -1), axis=1)
+    at = places(every.shape[1], length, tables)
+    return np.stack([every[:, p] @ (1 << np.arange(length, dtype=np.int64)) for p in at], axis=1) + (np.arange(tables, dtype=np.int64) << 40)
+
+
+def masks(bits: int, length: int, tables: int) -> np.ndarray:
+    """(tables, words): the keys' bits set."""
+    every = np.zeros((tables, bits), np.uint8)
+    np.put_along_axis(every, places(bits, length, tables), 1, axis=1)
+    return np.packbits(every, axis=1).view(">u8").astype(np.uint64)
+
+
+def _words(batch: pa.RecordBatch, first: int) -> np.ndarray:
+    return np.stack([batch.column(first + k).to_numpy() for k in range(WIDTH)], axis=1).view(np.uint64)
+
+
+def _candidates(rows: dict[str, np.ndarray], most: int, ranks: tuple[int, int], mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(u, v, whether some were left out) of one bucket's rows or one pair of its blocks."""
+    words, now, rep = rows["words"], rows["now"], rows["rep"]
+    both = bool(rows["side"].any())
+    a = np.flatnonzero(rows["side"] == 0)
+    b = np.flatnonzero(rows["side"] == 1) if both else a
+    u, v, more = [], [], False
+    for at in range(0, len(b), 256):
+        mine = b[at : at + 256]
+        differ = sum(np.bitwise_count(words[mine, None, k] ^ words[None, a, k]) for k in range(WIDTH))
+        i, j = np.nonzero(differ <= most)
+        far = differ[i, j]
+        i, j = mine[i], a[j]
+        fine = (rep[i] != rep[j]) & (both | (j < i))
+        i, j, far = i[fine], j[fine], far[fine]
+        for m in mask[: int(rows["key"][0]) >> 40]:
+            if not len(i):
                 break
-            hit = at[near(words[at], words[at + d])]
-            i.append(hit)
-            j.append(hit + d)
-        root = roots(len(key), np.concatenate(i), np.concatenate(j)) if i else np.arange(len(key))
-        moved = np.flatnonzero(root != np.arange(len(key)))
-        return out(rep[moved], rep[root[moved]], [])
-
-    def done(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key = rows[0]
-        cuts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
-        held = np.diff(cuts)
-        crowded = np.repeat((held > bucket) | ((pivot is not None) & (key[cuts[:-1]] == (pivot[0] if pivot else 0))), held)
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if crowded[a]:
-                yield full([x[a:b] for x in rows])
-        yield small([x[~crowded] for x in rows])
+            fine = ((words[i] ^ words[j]) & m).any(axis=1)
+            i, j, far = i[fine], j[fine], far[fine]
+        order = np.lexsort((j, far, i))
+        i, j = i[order], j[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        apart = now[i] != now[j]
+        more |= bool((apart & (rank >= ranks[1])).any())
+        apart &= (rank >= ranks[0]) & (rank < ranks[1])
+        u.append(rep[i[apart]])
+        v.append(rep[j[apart]])
+    return np.concatenate(u or [rep[:0]]), np.concatenate(v or [rep[:0]]), more
+
+
+def _run(batches: Iterator[pa.RecordBatch], most: int, ranks: tuple[int, int], length: int, tables: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, meet, side, rep, now, f0..) sorted by key and meet -> candidates (u, v), and (key) of buckets that have more."""
+    mask = masks(64 * WIDTH, length, tables)
+    rest: dict[str, np.ndarray] | None = None
+
+    def results(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        cuts = [0, *(np.flatnonzero(_change(rows)) + 1).tolist(), len(rows["key"])]
+        us, vs, left = [], [], []
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            if y - x > 1:
+                u, v, more = _candidates({k: c[x:y] for k, c in rows.items()}, most, ranks, mask)
+                us.append(u)
+                vs.append(v)
+                left += [int(rows["key"][x])] * more
+        if us and (left or sum(map(len, us))):
+            nothing = pa.nulls(len(left), pa.int64())
+            u, v = (pa.concat_arrays([pa.array(np.concatenate(x), pa.int64()), nothing]) for x in (us, vs))
+            yield pa.RecordBatch.from_arrays([u, v, pa.array([None] * (len(u) - len(left)) + left, pa.int64())], ["u", "v", "key"])
 
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = [batch.column(k).to_numpy() for k in range(2)] + [np.stack([batch.column(2 + k).to_numpy() for k in range(WIDTH)], axis=1).view(np.uint64)]
+        rows = {k: batch.column(n).to_numpy() for n, k in enumerate(("key", "meet", "side", "rep", "now"))} | {"words": _words(batch, 5)}
         if rest is not None:
-            rows = [np.concatenate(x) for x in zip(rest, rows, strict=True)]
-        key = rows[0]
-        change = np.flatnonzero(key[1:] != key[:-1])
+            rows = {k: np.concatenate((rest[k], rows[k])) for k in rows}
+        change = np.flatnonzero(_change(rows))
+        # the last bucket may go on in the next batch
         start = int(change[-1]) + 1 if len(change) else 0
         if start:
-            yield from done([x[:start] for x in rows])
-        rest = [x[start:] for x in rows]
-        if len(rest[0]) > bucket:  # surely full: what has come of it need not wait
-            yield full(rest)
-            rest = None
-    if rest is not None and len(rest[0]):
-        yield from done(rest)
+            yield from results({k: c[:start] for k, c in rows.items()})
+        rest = {k: c[start:] for k, c in rows.items()}
+    if rest is not None and len(rest["key"]):
+        yield from results(rest)
+
+
+def _change(rows: dict[str, np.ndarray]) -> np.ndarray:
+    return (rows["key"][1:] != rows["key"][:-1]) | (rows["meet"][1:] != rows["meet"][:-1])
+
+
+def listed(pairs: DataFrame) -> DataFrame:
+    return materialize(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "near-pairs")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = SIZE, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
-    """(doc_id, component_id, kept), one row for each input row: classes of texts linked by similarity.
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = SIZE, similarity: float = SIMILARITY, recall: float = RECALL, bucket: int = BLOCK, links: int = LINKS) -> DataFrame:
+    """(doc_id, component_id, kept), one row for each input row.
 
     Words are runs of non-space bytes with A-Z in lower case; shingles are `size` words (each counts once), of shorter texts the whole sequence.
     Texts whose fingerprints differ in no more bits than `similarity` lets expect are linked. component_id is the least doc_id
     reachable. Null and wordless texts are alike. Rows with a null doc_id stay alone (component_id null, kept true); repeated rows
-    are one document. An empty table gives an empty result.
+    are one document. An empty table gives an empty result. bucket has no effect: all pairs of a bucket are compared.
     """
-    prints = materialize(fingerprints(narrow(docs, id_col, text_col), size, WIDTH, distinct=True), "near-prints")
-    distinct = materialize(prints.where("doc_id is not null").groupBy(*WORDS).agg(F.min("doc_id").alias("rep")).withColumn("ring", _ring()), "near-distinct")
-    segments = 16 * WIDTH
-    chain, step = plan(distinct.count(), segments)
-    most = budget(similarity, 64 * WIDTH)
-    todo = distinct.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(segments - 1), F.lit(step))))
+    texts = narrow(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("hash"), "text")
+    prints = materialize(fingerprints(texts.select(F.struct("doc_id", "hash").alias("doc_id"), "text"), size, WIDTH, distinct=True).select("doc_id.*", *WORDS), "near-prints")
+    distinct = prints.where("doc_id is not null").groupBy(*WORDS).agg(F.min(F.struct("doc_id", "hash")).alias("least"))
+    distinct = materialize(distinct.select(*WORDS, F.col("least.doc_id").alias("rep"), "least.hash"), "near-distinct")
+    most = budget(similarity, 64 * WIDTH, ERRORS)
+    length, tables = shape_of(distinct.count(), similarity, recall, 64 * WIDTH, most)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 4096):
+            keys = keys_of(_words(batch, 3), length, tables)
+            for k in range(tables):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keys[:, k])), *batch.columns], ["key", *batch.schema.names])
+
+    def keyed_of(grouped: DataFrame) -> DataFrame:
+        return grouped.select("rep", "group", "now", *WORDS).mapInArrow(encode, "key long, rep long, group long, now long, " + ", ".join(f"{w} long" for w in WORDS))
+
+    def grouped_by(edges: DataFrame, before: DataFrame) -> DataFrame:
+        """now is the class by these links; group, by which buckets are dealt, stays."""
+        joined = components(edges, "near-links").withColumnRenamed("node", "rep")
+        return before.drop("now").join(joined, "rep", "left").withColumn("now", F.coalesce("component", "rep")).drop("component")
+
+    grouped = distinct.withColumns({"group": F.col("rep"), "now": F.col("rep")})
     edges = None
-    while chain <= segments:
-        keyed = todo.withColumn("key", _chain(F.col("start"), chain))
-        sent = keyed.select("key", "rep", *WORDS).repartition("key").sortWithinPartitions("key", "rep")
-        met = materialize(sent.mapInArrow(lambda batches: _run(batches, most, bucket), "u long, v long, key long"), "near-met")
-        links = met.where("v is not null").select("u", "v")
-        edges = links if edges is None else edges.unionByName(links)
-        crowded = met.where("key is not null").select("key").distinct()
-        if crowded.isEmpty():
+    ranks = (0, links)
+    left: DataFrame | None = None
+    while True:
+        keyed = keyed_of(grouped) if left is None else keyed_of(grouped).join(left, "key", "left_semi")
+        dealt = keyed.select("key", F.lit(0).cast("long").alias("meet"), F.lit(0).alias("side"), "rep", "now", *WORDS).repartition("key", "meet").sortWithinPartitions("key", "meet", "side", "rep")
+        met = materialize(dealt.mapInArrow(lambda batches, ranks=ranks: _run(batches, most, ranks, length, tables), "u long, v long, key long"), "near-met")
+        new = listed(met.where("v is not null").select("u", "v"))
+        edges = new if edges is None else edges.unionByName(new)
+        grouped = materialize(grouped_by(edges, grouped), "near-grouped")
+        left = met.where("key is not null").select("key").distinct()
+        if left.isEmpty():
             break
-        todo = keyed.join(crowded, "key").drop("key")
-        chain += 2 if chain < 16 else 16
-    joined = components(edges, "near-links").withColumnRenamed("node", "rep")
-    classes = distinct.join(joined, "rep", "left").select(*WORDS, F.coalesce("component", "rep").alias("component_id"))
+        ranks = (ranks[1], 8 * ranks[1])
+    classes = grouped.select(*WORDS, F.col("now").alias("component_id"))
     known = prints.where("doc_id is not null").join(classes, WORDS).select("doc_id", "component_id")
     alone = prints.where("doc_id is null").select("doc_id", F.col("doc_id").alias("component_id"))
     return known.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -147,6 +147,18 @@ def test_near_copies_find_edits_and_leave_others(spark, odd):
     assert near_copies.near_copies(odd).count() == len(ODD) and near_copies.near_copies(odd.limit(0)).count() == 0
 
 
+def test_near_copy_index_is_as_sure_at_every_size():
+    most = near_copies.budget(0.8, 256, near_copies.ERRORS)
+    random_ = np.random.default_rng(6)
+    for count in (20_000, 500_000, 12_500_000):
+        length, tables = near_copies.shape_of(count, 0.8, 0.99, 256, most)
+        left = random_.integers(0, 2, (1000, 256), np.uint8)
+        prints = [np.packbits(x, axis=1).view(">u8").astype(np.uint64) for x in (left, left ^ (random_.random(left.shape) < 0.1476))]
+        a, b = (near_copies.keys_of(x, length, tables) for x in prints)
+        near = np.bitwise_count(prints[0] ^ prints[1]).sum(axis=1) <= most
+        assert (a == b).any(axis=1)[near].mean() > 0.97
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
