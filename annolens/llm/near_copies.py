@@ -8,7 +8,9 @@ for embeddings: a key is so long that a bucket holds about FULL unrelated finger
 a pair at the threshold and within the budget meets with a fixed probability, at every size. This is bit sampling, not pigeonring: a budget of 38
 of 256 bits leaves no segment of a useful length free of differences for certain.
 
-All pairs of a bucket are compared; one counts in the first table where it meets. No bucket is too full for that: it is in one task.
+All pairs of a bucket are compared; one counts in the first table where it meets. A bucket of more than BLOCK fingerprints is first
+compared with a few of its members, which joins a large group of near copies in one pass. What stays outside of that group then meets
+itself and the group, in blocks that meet two by two in tasks of their own; pairs inside the group are in one class already.
 A row proposes its nearest `links` candidates in a bucket; where there are more, the bucket is looked at again for the next ones,
 seven times as many and so on, without the pairs that lie in one class by then, until none is left out.
 """
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from annolens.llm.base import materialize, narrow, slices
 from annolens.llm.components import components
-from annolens.llm.simhash import SEED, fingerprints
+from annolens.llm.simhash import SEED, fingerprints, hamming
 
 WIDTH = 4
 SIZE = 5
@@ -37,6 +39,8 @@ ERRORS = 0.0
 FULL = 512
 BLOCK = 4096
 LINKS = 4
+#: Members of an overfull bucket that all others are compared with first.
+PIVOTS = 4
 WORDS = [f"f{k}" for k in range(WIDTH)]
 
 
@@ -159,6 +163,24 @@ def _change(rows: dict[str, np.ndarray]) -> np.ndarray:
     return (rows["key"][1:] != rows["key"][:-1]) | (rows["meet"][1:] != rows["meet"][:-1])
 
 
+def _deal(keyed: DataFrame, over: DataFrame, block: int) -> DataFrame:
+    """Rows of each bucket with where they meet; over has the keys of overfull buckets.
+
+    The largest class of an overfull bucket lies in `a` blocks, all others in `r`: these meet two by two, as numbers i * r + j with
+    i <= j, and each block of the class, as r * r + i * r + j. A row on side 1 meets those on side 0.
+    """
+    home = keyed.join(over, "key").groupBy("key").agg(F.mode("group").alias("home"))
+    held = keyed.join(home, "key").groupBy("key", "home").agg(F.count_if(F.expr("group = home")).alias("a"), F.count_if(F.expr("group <> home")).alias("r"))
+    held = held.select("key", "home", *[F.ceil(F.col(k) / block).cast("int").alias(k) for k in "ar"])
+    placed = keyed.join(held, "key", "left").withColumns({"inside": F.expr("coalesce(group = home, false)"), "a": F.expr("coalesce(a, 0)"), "r": F.expr("coalesce(r, 1)")}).where("r > 0")
+    placed = placed.withColumn("mine", F.expr("cast(pmod(xxhash64(rep), if(inside, a, r)) as int)"))
+    among = "transform(sequence(0, r - 1), o -> named_struct('meet', cast(least(mine, o) as long) * r + greatest(mine, o), 'side', if(o < mine, 1, 0)))"
+    across = "if(a > 0, transform(sequence(0, greatest(a, 1) - 1), o -> named_struct('meet', cast(r as long) * r + o * r + mine, 'side', 1)), array())"
+    within = "transform(sequence(0, r - 1), o -> named_struct('meet', cast(r as long) * r + mine * r + o, 'side', 0))"
+    meets = placed.withColumn("at", F.explode(F.expr(f"if(inside, {within}, concat({among}, {across}))")))
+    return meets.select("key", "at.meet", "at.side", "rep", "now", *WORDS)
+
+
 def listed(pairs: DataFrame) -> DataFrame:
     return materialize(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "near-pairs")
 
@@ -169,7 +191,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Words are runs of non-space bytes with A-Z in lower case; shingles are `size` words (each counts once), of shorter texts the whole sequence.
     Texts whose fingerprints differ in no more bits than `similarity` lets expect are linked. component_id is the least doc_id
     reachable. Null and wordless texts are alike. Rows with a null doc_id stay alone (component_id null, kept true); repeated rows
-    are one document. An empty table gives an empty result. bucket has no effect: all pairs of a bucket are compared.
+    are one document. An empty table gives an empty result. Buckets of more than `bucket` fingerprints meet in blocks.
     """
     texts = narrow(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("hash"), "text")
     prints = materialize(fingerprints(texts.select(F.struct("doc_id", "hash").alias("doc_id"), "text"), size, WIDTH, distinct=True).select("doc_id.*", *WORDS), "near-prints")
@@ -193,12 +215,21 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return before.drop("now").join(joined, "rep", "left").withColumn("now", F.coalesce("component", "rep")).drop("component")
 
     grouped = distinct.withColumns({"group": F.col("rep"), "now": F.col("rep")})
+    keyed = keyed_of(grouped)
+    over = materialize(keyed.groupBy("key").count().where(F.col("count") > bucket).select("key"), "near-over")
     edges = None
+    if not over.isEmpty():
+        inside = keyed.join(over, "key")
+        chosen = inside.groupBy("key").agg(*[F.min_by(F.struct("rep", *WORDS), F.xxhash64("rep", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)])
+        chosen = chosen.select("key", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("pivot"))
+        met = inside.join(chosen, "key").where((hamming(WORDS, [f"pivot.{w}" for w in WORDS]) <= most) & (F.col("rep") != F.col("pivot.rep")))
+        edges = listed(met.select(F.col("rep").alias("u"), F.col("pivot.rep").alias("v")))
+        grouped = materialize(grouped_by(edges, grouped).withColumn("group", F.col("now")), "near-grouped")
     ranks = (0, links)
     left: DataFrame | None = None
     while True:
         keyed = keyed_of(grouped) if left is None else keyed_of(grouped).join(left, "key", "left_semi")
-        dealt = keyed.select("key", F.lit(0).cast("long").alias("meet"), F.lit(0).alias("side"), "rep", "now", *WORDS).repartition("key", "meet").sortWithinPartitions("key", "meet", "side", "rep")
+        dealt = _deal(keyed, over, bucket).repartition("key", "meet").sortWithinPartitions("key", "meet", "side", "rep")
         met = materialize(dealt.mapInArrow(lambda batches, ranks=ranks: _run(batches, most, ranks, length, tables), "u long, v long, key long"), "near-met")
         new = listed(met.where("v is not null").select("u", "v"))
         edges = new if edges is None else edges.unionByName(new)

@@ -159,6 +159,28 @@ def test_near_copy_index_is_as_sure_at_every_size():
         assert (a == b).any(axis=1)[near].mean() > 0.97
 
 
+def similar_pairs(random_, shares, count=40, size=200):
+    """(texts, share of common shingles) in pairs whose ends differ."""
+    for share in shares:
+        for _ in range(count):
+            text = [f"w{random_.randrange(10**6)}" for _ in range(size)]
+            # of n shingles k are shared: k / (2n - k)
+            other = round((size - 4) * 2 * share / (1 + share)) + 4
+            yield share, " ".join(text), " ".join([*text[:other], *[f"x{random_.randrange(10**6)}" for _ in range(size - other)]])
+
+
+def test_near_copies_in_overfull_buckets(spark):
+    random_ = random.Random(7)
+    pairs = list(similar_pairs(random_, (0.82, 0.9)))
+    rows = [(2 * k + side, p[1 + side]) for k, p in enumerate(pairs) for side in (0, 1)]
+    hub = [f"h{k}" for k in range(200)]
+    rows += [(1000 + k, " ".join([*hub[:190], f"y{k}", *hub[191:]])) for k in range(60)]
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs_of(spark, rows), bucket=8, links=1).collect()}
+    assert got == {r.doc_id: r.component_id for r in near_copies.near_copies(docs_of(spark, rows)).collect()}
+    assert {got[1000 + k] for k in range(60)} == {1000}
+    assert all(got[2 * k] == 2 * k for k in range(len(pairs)))
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
