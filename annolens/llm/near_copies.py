@@ -1,11 +1,12 @@
-"""Near copies by similarity of shingles: wide SimHash fingerprints in an index of bit samples.
+"""Near copies by similarity of shingles: wide SimHash fingerprints propose, the shingle sets decide.
 
 Two texts whose shingle sets have Jaccard similarity s have a cosine of 2s / (1 + s), so their fingerprints are expected to
-differ in acos(cosine) / pi of the bits: for 0.8 and 256 bits that is 38. Pairs that differ in no more bits are linked.
+differ in acos(cosine) / pi of the bits: for 0.8 and 256 bits that is 38. Candidates are pairs that differ in up to ERRORS standard
+errors more (55), and a candidate is a link only if the Jaccard similarity of the two texts' shingle sets reaches the threshold.
 
 The index has many tables, each keyed by bits of its own choice among the 256. Both numbers follow from the count of fingerprints, as
 for embeddings: a key is so long that a bucket holds about FULL unrelated fingerprints, and there are so many tables that
-a pair at the threshold and within the budget meets with a fixed probability, at every size. This is bit sampling, not pigeonring: a budget of 38
+a pair at the threshold is a candidate with probability RECALL, at every size. This is bit sampling, not pigeonring: a budget of 55
 of 256 bits leaves no segment of a useful length free of differences for certain.
 
 All pairs of a bucket are compared; one counts in the first table where it meets. A bucket of more than BLOCK fingerprints is first
@@ -23,19 +24,20 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annolens.llm.base import materialize, narrow, slices
+from annolens.llm.base import byte_texts, materialize, narrow, slices
 from annolens.llm.components import components
-from annolens.llm.simhash import SEED, fingerprints, hamming
+from annolens.llm.simhash import SEED, fingerprints, hamming, shingle_spans
 
 WIDTH = 4
 SIZE = 5
 SIMILARITY = 0.8
 RECALL = 0.99
 #: Standard errors of the distance at the threshold that a candidate may lie beyond it.
-ERRORS = 0.0
+ERRORS = 3.0
 FULL = 512
 BLOCK = 4096
 LINKS = 4
@@ -181,15 +183,37 @@ def _deal(keyed: DataFrame, over: DataFrame, block: int) -> DataFrame:
     return meets.select("key", "at.meet", "at.side", "rep", "now", *WORDS)
 
 
-def listed(pairs: DataFrame) -> DataFrame:
-    return materialize(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "near-pairs")
+def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, shingles): the distinct shingles of each row as XXH64 hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = []
+            for text in byte_texts(batch.column(1)):
+                joined, starts, ends = shingle_spans(text, size)
+                sets.append(np.unique(np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)], np.uint64)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, shingles array<long>")
+
+
+def similar(pairs: DataFrame, distinct: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose shingle sets have a Jaccard similarity of `similarity` or more; texts: (doc_id, hash, text)."""
+    pairs = materialize(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "near-pairs")
+    named = pairs.select(F.explode(F.array("u", "v")).alias("rep")).distinct().join(distinct, "rep").select(F.col("rep").alias("doc_id"), "hash").distinct()
+    chosen = texts.join(named, ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash"])
+    sets = materialize(shingle_sets(chosen, size), "near-sets")
+    both = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("y")), "v")
+    shared = F.size(F.array_intersect("x", "y"))
+    return materialize(both.where(shared / (F.size("x") + F.size("y") - shared) >= similarity).select("u", "v"), "near-similar")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = SIZE, similarity: float = SIMILARITY, recall: float = RECALL, bucket: int = BLOCK, links: int = LINKS) -> DataFrame:
     """(doc_id, component_id, kept), one row for each input row.
 
     Words are runs of non-space bytes with A-Z in lower case; shingles are `size` words (each counts once), of shorter texts the whole sequence.
-    Texts whose fingerprints differ in no more bits than `similarity` lets expect are linked. component_id is the least doc_id
+    Texts whose shingle sets have a Jaccard similarity of `similarity` or more are linked. A link is found with probability
+    `recall` at the threshold, and more surely above. component_id is the least doc_id
     reachable. Null and wordless texts are alike. Rows with a null doc_id stay alone (component_id null, kept true); repeated rows
     are one document. An empty table gives an empty result. Buckets of more than `bucket` fingerprints meet in blocks.
     """
@@ -223,7 +247,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         chosen = inside.groupBy("key").agg(*[F.min_by(F.struct("rep", *WORDS), F.xxhash64("rep", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)])
         chosen = chosen.select("key", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("pivot"))
         met = inside.join(chosen, "key").where((hamming(WORDS, [f"pivot.{w}" for w in WORDS]) <= most) & (F.col("rep") != F.col("pivot.rep")))
-        edges = listed(met.select(F.col("rep").alias("u"), F.col("pivot.rep").alias("v")))
+        edges = similar(met.select(F.col("rep").alias("u"), F.col("pivot.rep").alias("v")), distinct, texts, size, similarity)
         grouped = materialize(grouped_by(edges, grouped).withColumn("group", F.col("now")), "near-grouped")
     ranks = (0, links)
     left: DataFrame | None = None
@@ -231,7 +255,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         keyed = keyed_of(grouped) if left is None else keyed_of(grouped).join(left, "key", "left_semi")
         dealt = _deal(keyed, over, bucket).repartition("key", "meet").sortWithinPartitions("key", "meet", "side", "rep")
         met = materialize(dealt.mapInArrow(lambda batches, ranks=ranks: _run(batches, most, ranks, length, tables), "u long, v long, key long"), "near-met")
-        new = listed(met.where("v is not null").select("u", "v"))
+        new = similar(met.where("v is not null").select("u", "v"), distinct, texts, size, similarity)
         edges = new if edges is None else edges.unionByName(new)
         grouped = materialize(grouped_by(edges, grouped), "near-grouped")
         left = met.where("key is not null").select("key").distinct()

@@ -177,10 +177,19 @@ def test_near_copies_in_overfull_buckets(spark):
     rows += [(1000 + k, " ".join([*hub[:190], f"y{k}", *hub[191:]])) for k in range(60)]
     got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs_of(spark, rows), bucket=8, links=1).collect()}
     assert got == {r.doc_id: r.component_id for r in near_copies.near_copies(docs_of(spark, rows)).collect()}
+    assert np.mean([got[2 * k] == got[2 * k + 1] for k in range(len(pairs))]) > 0.97
     assert {got[1000 + k] for k in range(60)} == {1000}
     assert all(got[2 * k] == 2 * k for k in range(len(pairs)))
 
 
+def test_near_copies_are_decided_by_their_shingles(spark):
+    pairs = list(similar_pairs(random.Random(8), (0.7, 0.78, 0.805, 0.85)))
+    rows = [(2 * k + side, p[1 + side]) for k, p in enumerate(pairs) for side in (0, 1)]
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs_of(spark, rows)).collect()}
+    linked = {share: np.mean([got[2 * k] == got[2 * k + 1] for k, p in enumerate(pairs) if p[0] == share]) for share in (0.7, 0.78, 0.805, 0.85)}
+    assert linked[0.7] == linked[0.78] == 0 and linked[0.805] > 0.9 and linked[0.85] > 0.97
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
