@@ -165,12 +165,14 @@ def _change(rows: dict[str, np.ndarray]) -> np.ndarray:
     return (rows["key"][1:] != rows["key"][:-1]) | (rows["meet"][1:] != rows["meet"][:-1])
 
 
-def _deal(keyed: DataFrame, over: DataFrame, block: int) -> DataFrame:
+def _deal(keyed: DataFrame, over: DataFrame | None, block: int) -> DataFrame:
     """Rows of each bucket with where they meet; over has the keys of overfull buckets.
 
     The largest class of an overfull bucket lies in `a` blocks, all others in `r`: these meet two by two, as numbers i * r + j with
-    i <= j, and each block of the class, as r * r + i * r + j. A row on side 1 meets those on side 0.
+    i <= j, and each block of the class, as r * r + i * r + j. A row on side 1 meets those on side 0. Without overfull buckets nothing is joined.
     """
+    if over is None:
+        return keyed.select("key", F.lit(0).cast("long").alias("meet"), F.lit(0).alias("side"), "rep", "now", *WORDS)
     home = keyed.join(over, "key").groupBy("key").agg(F.mode("group").alias("home"))
     held = keyed.join(home, "key").groupBy("key", "home").agg(F.count_if(F.expr("group = home")).alias("a"), F.count_if(F.expr("group <> home")).alias("r"))
     held = held.select("key", "home", *[F.ceil(F.col(k) / block).cast("int").alias(k) for k in "ar"])
@@ -225,7 +227,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     length, tables = shape_of(distinct.count(), similarity, recall, 64 * WIDTH, most)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 4096):
+        for batch in slices(batches, 1024):
             keys = keys_of(_words(batch, 3), length, tables)
             for k in range(tables):
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keys[:, k])), *batch.columns], ["key", *batch.schema.names])
@@ -242,7 +244,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = keyed_of(grouped)
     over = materialize(keyed.groupBy("key").count().where(F.col("count") > bucket).select("key"), "near-over")
     edges = None
-    if not over.isEmpty():
+    crowded = not over.isEmpty()
+    if crowded:
         inside = keyed.join(over, "key")
         chosen = inside.groupBy("key").agg(*[F.min_by(F.struct("rep", *WORDS), F.xxhash64("rep", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)])
         chosen = chosen.select("key", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("pivot"))
@@ -253,7 +256,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     left: DataFrame | None = None
     while True:
         keyed = keyed_of(grouped) if left is None else keyed_of(grouped).join(left, "key", "left_semi")
-        dealt = _deal(keyed, over, bucket).repartition("key", "meet").sortWithinPartitions("key", "meet", "side", "rep")
+        dealt = _deal(keyed, over if crowded else None, bucket).repartition("key", "meet").sortWithinPartitions("key", "meet", "side", "rep")
         met = materialize(dealt.mapInArrow(lambda batches, ranks=ranks: _run(batches, most, ranks, length, tables), "u long, v long, key long"), "near-met")
         new = similar(met.where("v is not null").select("u", "v"), distinct, texts, size, similarity)
         edges = new if edges is None else edges.unionByName(new)
