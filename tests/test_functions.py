@@ -49,7 +49,10 @@ def test_scanner_reads_literals_and_groups():
     assert tokens == ["x", "=", '"// no"', ";", 'R"q(/* no */)q"', "a", "<<=", "b"]
     assert lex.code_changed("a /* x */ b", "a /* y */ b") is None
     assert lex.code_changed("#define a /* x */ b\n", "#define a b\n") == "preprocessor text or spacing changed"
-    assert lex.rendered("one\ntwo", "// x", "  ") == "// one\n  // two"
+    assert lex.spliced("int a; // x\nint b;\n", 7, 11, "// new") == "int a; // new\nint b;\n"
+    for bad in ("int c;", "// new\nint c;", "/* open"):
+        with pytest.raises(lex.ScanError):
+            lex.spliced("int a; // x\nint b;\n", 7, 11, bad)
     assert lex.following_code("// a\nint x;\n\n/* b */ int y;\n", 4, 1) == "int x;"
 
 
