@@ -28,8 +28,10 @@ from annolens.llm.components import components
 
 THRESHOLD = 0.9
 RECALL = 0.99
-BUCKET = 16
-BLOCK = 1024
+BUCKET = 512
+BLOCK = 4096
+#: Overfull buckets up to which their keys are broadcast.
+FEW_BUCKETS = 500_000
 #: Standard errors in the bound of an estimate.
 ERRORS = 4.0
 SEED = 20240521
@@ -44,14 +46,14 @@ def rotation(dimension: int, number: int) -> np.ndarray:
 def shape_of(count: int, threshold: float, recall: float) -> tuple[int, int]:
     """(bits of a key, tables) for so many vectors."""
     same = 1 - math.acos(min(1.0, threshold)) / math.pi
-    bits = max(4, min(24, math.ceil(math.log2(max(2, count) / BUCKET))))
-    return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - same**bits))) if same < 1 else 1
+    bits = max(0, min(30, math.ceil(math.log2(max(1, count) / BUCKET))))
+    return bits, math.ceil(math.log(1 - recall) / math.log(1 - same**bits)) if same < 1 and bits else 1
 
 
 def signs(units: np.ndarray, bits: int) -> np.ndarray:
     """(n, bits) booleans: the signs under as many rotations as that takes."""
     dimension = units.shape[1]
-    turned = [units @ rotation(dimension, k) for k in range(-(-bits // dimension))]
+    turned = [units @ rotation(dimension, k) for k in range(max(1, -(-bits // dimension)))]
     return (np.hstack(turned) > 0)[:, :bits]
 
 
@@ -62,17 +64,24 @@ def keys_of(units: np.ndarray, bits: int, tables: int) -> np.ndarray:
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of length one; scaled by a power of two before, which is exact, so that squares of huge components stay finite."""
+    vectors = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def links(left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of unit vectors with a cosine of threshold or more: estimated from codes, then exactly."""
+def code_of(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(packed sign bits, correction factors): what is stored of each vector."""
+    dimension = units.shape[1]
+    turned = units @ rotation(dimension, 0)
+    return np.packbits(turned > 0, axis=1), np.abs(turned).sum(axis=1) / math.sqrt(dimension)
+
+
+def links(left: np.ndarray, right: np.ndarray, code: np.ndarray, factor: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of unit vectors with a cosine of threshold or more: estimated from the left ones' codes and factors, then exactly."""
     dimension = left.shape[1]
     turn = rotation(dimension, 0)
-    turned = left @ turn
-    code = np.where(turned > 0, 1.0, -1.0).astype(np.float32) / math.sqrt(dimension)
-    factor = np.einsum("ij,ij->i", turned, code)
-    estimate = (code @ (right @ turn).astype(np.float32).T) / factor[:, None]
+    plus = (2.0 * np.unpackbits(code, axis=1, count=dimension).astype(np.float32) - 1) / math.sqrt(dimension)
+    estimate = (plus @ (right @ turn).astype(np.float32).T) / factor[:, None]
     bound = ERRORS * np.sqrt(np.maximum(0.0, 1 - factor**2)) / factor / math.sqrt(max(1, dimension - 1))
     i, j = np.nonzero(estimate + bound[:, None] >= threshold)
     exact = np.einsum("ij,ij->i", left[i], right[j])
@@ -106,7 +115,8 @@ def _compare(rows: dict, threshold: float) -> tuple[list, list, list] | None:
     found = [[], []]
     for at in range(0, len(a), BLOCK):
         for to in range(0 if both else at, len(b), BLOCK):
-            i, j = links(units[a[at : at + BLOCK]], units[b[to : to + BLOCK]], threshold)
+            mine = a[at : at + BLOCK]
+            i, j = links(units[mine], units[b[to : to + BLOCK]], rows["code"][mine], rows["factor"][mine], threshold)
             found[0].append(a[at + i])
             found[1].append(b[to + j])
     i, j = np.concatenate(found[0]), np.concatenate(found[1])
@@ -134,7 +144,9 @@ def _run(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.Rec
 
     def results(table: pa.Table) -> Iterator[pa.RecordBatch]:
         place = [table.column(k).to_numpy() for k in ("table", "bucket", "pair", "size")]
-        columns = {k: table.column(k).to_numpy() for k in ("table", "side", "n", "rep")}
+        columns = {k: table.column(k).to_numpy() for k in ("table", "side", "n", "rep", "factor")}
+        codes = table.column("code").to_pylist()
+        columns["code"] = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1) if len(set(map(len, codes))) == 1 else np.array([np.frombuffer(c, np.uint8) for c in codes], object)
         lists = {k: table.column(k).combine_chunks() for k in ("embedding", "keys")}
         columns |= {k: np.stack([np.asarray(v) for v in x.to_numpy(zero_copy_only=False)]) if len({len(v) for v in x}) > 1 else x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1) for k, x in lists.items()}
         change = np.flatnonzero(np.any([p[1:] != p[:-1] for p in place], axis=0)) + 1
@@ -143,7 +155,7 @@ def _run(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.Rec
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b - a < 2:
                 continue
-            got = _compare({k: (v[a] if k == "table" else v[a:b]) for k, v in columns.items()}, threshold)
+            got = _compare({k: (v[a] if k == "table" else np.stack(v[a:b]) if v.dtype == object else v[a:b]) for k, v in columns.items()}, threshold)
             if got:
                 for k in range(3):
                     out[k].append(got[k])
@@ -173,10 +185,11 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     n_links counts the other rows that a row links with directly, at a cosine of `threshold` or more in double precision;
     component_id is the least vec_id reachable. Vectors that are null, empty, zero or hold null or non-finite components
     link with nothing, nor do rows with a null id; they are their own component. Vectors of different lengths do
-    not link. Rows that repeat an id are rows like others. An empty table gives an empty result.
+    not link. Rows that repeat an id are rows like others. An empty table gives an empty result. Ids are whole numbers; components of
+    any other type than float are taken as doubles. Other columns are ignored.
     """
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("embedding"))
+    kind = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.coalesce(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
     good, other = rows.where(usable), rows.where(~usable)
@@ -189,26 +202,36 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             sizes = np.diff(column.offsets.to_numpy())
             keys = np.zeros((len(sizes), tables), np.int64)
             flat, at = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.concatenate(([0], np.cumsum(sizes)))
+            codes, factors = [b""] * len(sizes), np.zeros(len(sizes))
             for size in np.unique(sizes):
                 mine = np.flatnonzero(sizes == size)
-                keys[mine] = keys_of(unit(np.stack([flat[at[k] : at[k] + size] for k in mine])), bits, tables)
+                units = unit(np.stack([flat[at[k] : at[k] + size] for k in mine]))
+                keys[mine] = keys_of(units, bits, tables)
+                packed, factors[mine] = code_of(units)
+                for k, code in zip(mine.tolist(), packed, strict=True):
+                    codes[k] = code.tobytes()
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * tables), pa.array(keys.ravel().astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([column, batch.column(1), batch.column(2), lists], ["embedding", "rep", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([column, batch.column(1), batch.column(2), lists, pa.array(codes, pa.binary()), pa.array(factors)], ["embedding", "rep", "n", "keys", "code", "factor"])
 
-    coded = materialize(classes.mapInArrow(encode, "embedding array<float>, rep long, n long, keys array<int>"), "codes")
+    coded = materialize(classes.mapInArrow(encode, f"embedding {kind}, rep long, n long, keys array<int>, code binary, factor double"), "codes")
     spread = coded.select("*", F.size("embedding").alias("size"), F.posexplode("keys").alias("table", "bucket"))
-    held = spread.groupBy("table", "bucket", "size").agg(F.count("*").alias("held")).where("held > 1").withColumn("blocks", F.ceil(F.col("held") / block).cast("int"))
-    placed = spread.join(held.drop("held"), ["table", "bucket", "size"]).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    # The buckets that need more than one block are few, and counted on narrow rows: vectors are shuffled once.
+    keyed = coded.select(F.size("embedding").alias("size"), F.posexplode("keys").alias("table", "bucket"))
+    held = keyed.groupBy("table", "bucket", "size").agg(F.count("*").alias("held")).where(F.col("held") > block)
+    over = materialize(held.select("table", "bucket", "size", F.ceil(F.col("held") / block).cast("int").alias("blocks")), "over")
+    joined = spread.join(F.broadcast(over) if over.count() <= FEW_BUCKETS else over, ["table", "bucket", "size"], "left")
+    placed = joined.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     # Block pairs (i, j), i <= j, as i * blocks + j: a row of block m meets every block, on side 1 if it is the second.
     pairs = F.expr("transform(sequence(0, blocks - 1), o -> named_struct('pair', cast(least(mine, o) as long) * blocks + greatest(mine, o), 'side', if(o < mine, 1, 0)))")
-    dealt = placed.withColumn("meet", F.explode(pairs)).select("table", "bucket", "size", "meet.pair", "meet.side", "n", "rep", "embedding", "keys")
+    dealt = placed.withColumn("meet", F.explode(pairs)).select("table", "bucket", "size", "meet.pair", "meet.side", "n", "rep", "embedding", "keys", "code", "factor")
     dealt = dealt.repartition("table", "bucket", "size", "pair").sortWithinPartitions("table", "bucket", "size", "pair", "side", "rep")
     met = materialize(dealt.mapInArrow(lambda batches: _run(batches, threshold), "rep long, links long, root long"), "links")
 
     counts = met.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(met.select(F.col("rep").alias("u"), F.col("root").alias("v")), "embedding-links")
     member = classes.join(counts, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-    member = member.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    # A table of its own, so that the join can split a vector that many rows hold.
+    member = materialize(member.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "members")
     result = good.join(member, "embedding").select("vec_id", "n_links", "component_id")
     alone = other.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return result.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
