@@ -10,8 +10,11 @@ pattern that surrounds a third of all identifiers is one group of partial sums,
 
 from __future__ import annotations
 
+import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import islice, takewhile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -95,16 +98,39 @@ def _identifier_like(token: str) -> bool:
     return len(token) >= 6 and ("@" in token[1:-1] or sum("0" <= c <= "9" for c in token) >= 4)
 
 
+def _whole(text: str, most: int) -> str:
+    """A text as it is, or its SHA-256 if it is longer than `most`: all of it tells it apart, whatever is stored."""
+    return text if len(text) <= most else hashlib.sha256(text.encode()).hexdigest()
+
+
 def _word(token: str) -> str:
-    return token.strip(_EDGE).lower() or token[:1]
+    return _whole(token.strip(_EDGE).lower() or token[:1], 64)
+
+
+class Places:
+    """Where the tokens of a text stand."""
 
+    def __init__(self, text: str):
+        self.text, self.spans = text, [m.span() for m in _TOKEN.finditer(text)]
+        self.starts = [a for a, _ in self.spans]
 
-def contexts(text: str, start: int, end: int) -> list[str]:
+    def before(self, start: int) -> list[str]:
+        """The two words before a place; the part of a token that ends there is one."""
+        k = bisect_left(self.starts, start)
+        return [self.text[a : min(b, start)] for a, b in self.spans[max(0, k - 2) : k]]
+
+    def after(self, end: int) -> str | None:
+        k = bisect_left(self.starts, end)
+        if k and self.spans[k - 1][1] > end:
+            return self.text[end : self.spans[k - 1][1]]
+        return self.text[slice(*self.spans[k])] if k < len(self.spans) else None
+
+
+def contexts(places: Places, start: int, end: int) -> list[str]:
     """Lexical patterns of a place: the two words before it, and the words on either side of it."""
-    before = text[max(0, start - 80) : start].split()[-2:]
-    after = text[end : end + 40].split()[:1]
-    left = [_word(w)[:24] for w in before]
-    right = _word(after[0])[:24] if after else "."
+    left = [_word(w) for w in places.before(start)]
+    after = places.after(end)
+    right = _word(after) if after else "."
     if not left:
         return []
     return [f"{' '.join(left)} _"] * (len(left) == 2) + [f"{left[-1]} _ {right}"]
@@ -112,20 +138,24 @@ def contexts(text: str, start: int, end: int) -> list[str]:
 
 def occurrences(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str | None, int, int, str, list[str]]]:
     """(kind or None, start, end, instance, patterns): the base spans, and other identifier-like tokens outside of them."""
-    found = [(kind, a, b, text[a:b].lower()[:64], contexts(text, a, b)) for kind, a, b in base]
+    if not (_DIGIT.search(text) or "@" in text):
+        return []
+    places = Places(text)
+    found = [(kind, a, b, _whole(text[a:b].lower(), 64), contexts(places, a, b)) for kind, a, b in base]
     taken = sorted((a, b) for _, a, b in base)
     at = 0
-    for m in _TOKEN.finditer(text) if _DIGIT.search(text) or "@" in text else ():
-        token = m[0].strip(_EDGE)
+    for first, last in places.spans:
+        whole = text[first:last]
+        token = whole.strip(_EDGE)
         if not _identifier_like(token):
             continue
-        start = m.start() + m[0].index(token)
+        start = first + whole.index(token)
         end = start + len(token)
         while at < len(taken) and taken[at][1] <= start:
             at += 1
-        if any(a < end and start < b for a, b in taken[at : at + 3]):
+        if any(start < b for _, b in takewhile(lambda span, end=end: span[0] < end, islice(taken, at, None))):
             continue
-        found.append((None, start, end, token.lower()[:64], contexts(text, start, end)))
+        found.append((None, start, end, _whole(token.lower(), 64), contexts(places, start, end)))
     return found
 
 
@@ -183,7 +213,8 @@ def bootstrap(edges: DataFrame, *, rounds: int = ROUNDS, confidence: float = CON
 def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, mark, base, spans), one row for each input row: arrays of (kind, start, end), by kind as in KINDS and then by start.
 
-    base holds what the recognisers find, spans adds what the bootstrap finds. Null and empty texts have neither.
+    base holds what the recognisers find, spans adds what the bootstrap finds, outside of the base spans. Null and empty texts have neither.
+    Ties of kind and start go to the smaller end.
     Rows are matched by id and text, so repeated rows and null ids keep their own spans.
     """
     return _pii(narrow(docs, id_col, text_col), rounds)
