@@ -65,7 +65,7 @@ def pieces(notice: str, edits: int) -> list[tuple[int, str]]:
 class Scanner:
     def __init__(self, notices: dict[str, str]):
         self.notices = [(notice, label, edits_of(notice)) for notice, label in notices.items()]
-        self.patterns = [regex.compile(rf"(?b)(?<= )(?:{regex.escape(n)}){{e<={k}}}(?= )") for n, _, k in self.notices]
+        self.patterns = [regex.compile(rf"(?e)(?<= )(?:{regex.escape(n)}){{e<={k}}}(?= )") for n, _, k in self.notices]
         seeds: dict[str, list[tuple[int, int]]] = {}
         for at, (notice, _, edits) in enumerate(self.notices):
             for offset, piece in pieces(notice, edits):
@@ -117,7 +117,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, n_words, places, spans), one row for each input row.
 
     places: array of (label, word, words) for exact phrases, word counted from 0. spans: array of
-    (label, word, words, edits) for notices within their bound of edits, best match first found from the left.
+    (label, word, words, edits) for notices within their bound of edits, in characters: of each notice the leftmost places that do
+    not overlap, each fitted as well as it can be.
     Null and wordless texts have no words, places or spans. Ids are carried as they are, null and repeated ones too.
     """
     phrases, fixed = dict(phrases or BASE), tuple((notices or NOTICES).items())
@@ -134,7 +135,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 joined = b" " + b" ".join(words) + b" "
                 counts.append(len(words))
                 places.append([{"label": x, "word": w, "words": n} for x, w, n in sorted(base_places(joined, phrases), key=lambda p: p[1])])
-                plain = joined.decode("latin-1")
+                plain = joined.decode()
                 spans.append([{"label": x, "word": plain.count(" ", 0, a - 1), "words": plain.count(" ", a, b) + 1, "edits": e} for x, a, b, e in search.spans(plain)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(places, place), pa.array(spans, span)], ["doc_id", "n_words", "places", "spans"])
 
@@ -159,4 +160,5 @@ def license_digest(found: DataFrame) -> DataFrame:
         labels(F.concat("places.label", "spans.label")).alias("labels"),
         F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(near, F.lit(0.0))).alias("score"),
         F.size("spans").cast("long").alias("n_spans"),
+        F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["label"], s["word"].cast("string"), s["words"].cast("string"), s["edits"].cast("string"))), ",").alias("spans"),
     )
