@@ -21,10 +21,12 @@ def narrow(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the session's own if unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local session's own if that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         context = spark.sparkContext
+        if not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = getattr(context, "_annolens_shared", None)
         if not root:
             root = context._annolens_shared = tempfile.mkdtemp(prefix="annolens-shared-")

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,7 +77,6 @@ def token_index(tokens: DataFrame) -> DataFrame:
     rows = tokens.select("doc_id", "ids", "before", "shard").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_crc32 long, before long, shard int")
     # One row a file: its last document tells its total. So many rows as there are files, whatever the documents.
     sums = tokens.groupBy("shard").agg(F.max(F.col("before") + F.size("ids")).alias("total"))
-    every = sums.agg(F.array_sort(F.collect_list(F.struct("shard", "total"))).alias("all"))
-    before = F.transform("all", lambda x, k: F.struct(x["shard"].alias("shard"), F.aggregate(F.slice("all", F.lit(1), k), F.lit(0).cast("long"), lambda s, y: s + y["total"]).alias("base")))
-    starts = every.select(F.explode(before).alias("x")).select("x.*")
+    past = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("shard", F.coalesce(F.sum("total").over(past), F.lit(0)).alias("base"))
     return rows.join(F.broadcast(starts), "shard").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")

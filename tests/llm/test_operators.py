@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -18,7 +19,7 @@ from annolens.llm import byte_bpe, embedding_dedup, language_id, license_scan, n
 from annolens.llm.base import is_crc_bucket
 from annolens.llm.components import components
 from annolens.llm.exact_dedup import exact_dedup
-from annolens.llm.queries import BYTE_TOKENIZER, QUERIES, WORD_TOKENIZER
+from annolens.llm.queries import BYTE_TOKENIZER, ORACLE, QUERIES, WORD_TOKENIZER
 from annolens.llm.word_tokens import WordTokenizer
 from tests.conftest import DATA, plain
 
@@ -267,6 +268,20 @@ def test_bootstrap_discovers_by_context(spark, odd):
     assert [r.text for r in pii.redacted(odd).where("doc_id = 2").collect()] == [None]
 
 
+def test_license_edits_are_characters(spark):
+    texts = ["licénsed undér the mozilla public license", "licxnsed undxr the mozilla public license", "released under the mit licence released under the mit license released under teh mit license"]
+    rows = license_scan.license_scan(docs_of(spark, list(enumerate(texts)))).orderBy("doc_id").collect()
+    assert [[(s.label, s.edits) for s in r.spans] for r in rows] == [[("mpl", 2)], [("mpl", 2)], [("mit", 1), ("mit", 0), ("mit", 2)]]
+
+
+def test_long_instances_stay_apart():
+    long = "7" * 70
+    a, b = (pii.occurrences(f"the account number {long}{k} is", [])[0] for k in "12")
+    assert a[3] != b[3] and a[4] == b[4] == ["account number _", "number _ is"]
+    spans = [("ip", k, k + 1) for k in range(0, 40, 2)]
+    assert pii.occurrences("1" * 60, spans) and all(kind for kind, *_ in pii.occurrences("1" * 60, spans))
+
+
 def test_license_scan(spark, odd):
     rows = docs_of(spark, [(1, "Under the GNU-General\nPublic LICENSE, or CC BY-SA 4.0 mit  license"), (2, "licensd under the Apache License, Version 2.0"), (3, "apache licenses, the xmit license")])
     got = {r.doc_id: r for r in license_scan.license_digest(license_scan.license_scan(rows)).collect()}
@@ -408,6 +423,28 @@ def test_embeddings_match_all_pairs(spark, block):
     assert np.mean([got[k].component_id == root[k] for k in got]) > 0.95
 
 
+def test_embeddings_match_sql(spark, duck):
+    assert plain(QUERIES["op10_embedding_dedup"](spark, DATA).toPandas()) == plain(duck.sql(ORACLE["op10_embedding_dedup"]).df())
+
+
+def test_embeddings_compare_in_double_precision(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1e300, 0.0]), (3, [0.9, math.sqrt(1 - 0.81)]), (4, [0.9 - 1e-9, math.sqrt(1 - (0.9 - 1e-9) ** 2)])]
+    got = {r.vec_id: r.n_links for r in embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got[2] >= 1 and got[4] < got[3] + 1
+
+
+def test_embedding_index_reaches_its_recall():
+    random_ = np.random.default_rng(3)
+    left = embedding_dedup.unit(random_.standard_normal((400, 64)))
+    noise = random_.standard_normal(left.shape)
+    noise = embedding_dedup.unit(noise - (noise * left).sum(axis=1, keepdims=True) * left)
+    right = 0.9 * left + math.sqrt(1 - 0.81) * noise
+    for count in (50_000, 10_000_000):
+        bits, tables = embedding_dedup.shape_of(count, 0.9, 0.99)
+        met = embedding_dedup.keys_of(left, bits, tables) == embedding_dedup.keys_of(right, bits, tables)
+        assert met.any(axis=1).mean() > 0.97
+
+
 def test_embeddings_odd_rows(spark):
     rows = [(1, [1.0, 0.0]), (2, None), (3, []), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, [None, 1.0]), (None, [1.0, 0.0]), (8, [1.0, 0.0]), (8, [2.0, 0.0]), (9, [1.0, 0.0, 0.0]), (10, [-1.0, 0.0])]
     got = embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
