@@ -62,11 +62,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def pinned(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that spark.checkpoint.dir names (the session's own if unset): later steps read it instead of recomputing it."""
+    """df as a table in the folder that spark.checkpoint.dir names (a local session's own if unset): later steps read it instead of recomputing it."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         context = spark.sparkContext
+        if not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = getattr(context, "_annolens_pinned", None)
         if not root:
             root = context._annolens_pinned = tempfile.mkdtemp(prefix="annolens-pinned-")
