@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annolens.functions import lex, patch
+from annolens.functions.prompts import rendered, rendered_reason
+from annolens.operators.validate import exact_keys
 
 _COMMENT = "start long, end long, line long, end_line long, raw string, comment string"
 
@@ -127,6 +129,20 @@ def coupling(cases: DataFrame, key: str = "id", comment: str = "comment", contex
     return _mapped(cases, [key], [comment, context, source], one, "code_identifiers long, restated long, restatement_fraction double, foreign long, foreign_names array<string>")
 
 
+def generated_comments(rows: DataFrame, key: str = "id", refused: str = "reason") -> DataFrame:
+    """(key, reason, after): answers {"comment": prose} put in place of a comment; reason is null where an answer counts.
+
+    rows: (key, source, start, end, original, indent, answer). Keys and prose are judged by expressions; only answers that pass
+    go through the lexer, which sees that the code stays and the text is a comment.
+    """
+    prose = F.get_json_object("answer", "$.comment")
+    reason = F.when(~exact_keys(F.col("answer"), ["comment"]), "wrong keys").otherwise(rendered_reason(prose))
+    marked = rows.withColumns({refused: reason, "comment": rendered(prose, F.col("original"), F.col("indent"))})
+    sound = marked.where(F.col(refused).isNull())
+    done = _mapped(sound, [key], ["source", "start", "end", "comment"], lambda s, a, b, c: [{"after": lex.spliced(s, int(a), int(b), c)}], "after string")
+    return done.select(key, F.col("error").alias(refused), "after").unionByName(marked.where(F.col(refused).isNotNull()).select(key, refused, F.lit(None).cast("string").alias("after")))
+
+
 def blind_labels(units: DataFrame, arms: list[str], key: str = "id", seed: str = "seed", mark: str = "C") -> DataFrame:
     """(key, labels map label -> arm): arms shuffled by Python's generator under each row's seed, so saved labels can be read back."""
 

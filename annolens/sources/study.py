@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +31,31 @@ def write_once(df: DataFrame, path: str, form: str = "parquet", by: list[str] |
     (writer.partitionBy(*by) if by else writer).save(path)
 
 
+def write_json(value: object, path: str) -> None:
+    """A small result as JSON for people: two spaces a level, letters as they are, a line break at the end; folders are made, a file that is there is refused."""
+    target = Path(path)
+    target.parent.mkdir(parents=True, exist_ok=True)
+    with target.open("x", encoding="utf-8") as file:
+        file.write(json.dumps(value, indent=2, ensure_ascii=False) + "\n")
+
+
+def lock_of(files: DataFrame, commit: str, most: int = 100_000) -> dict:
+    """The lock of sources (path, sha256, bytes): one entry a file in the order of paths; a repository has `most` of them at most."""
+    rows = files.select("path", "sha256", "bytes").orderBy("path").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} files are no study")
+    return {"commit": commit, "files": [r.asDict() for r in rows]}
+
+
+def saved_answers(spark: SparkSession, glob: str, arms: list[str], schema: T.StructType | str = "comment string") -> DataFrame:
+    """(case_id, arm struct of each arm) from files .../<case>/<arm>/answer.json; cases that lack an arm are left out."""
+    path = F.split(F.input_file_name(), "/")
+    rows = spark.read.schema(schema).option("multiLine", True).json(glob)
+    rows = rows.select(F.element_at(path, -3).alias("case_id"), F.element_at(path, -2).alias("arm"), F.struct(*rows.columns).alias("answer"))
+    wide = rows.groupBy("case_id").agg(*[F.max_by("answer", F.when(F.col("arm") == a, F.lit(1))).alias(a) for a in arms])
+    return wide.dropna(subset=arms)
+
+
 def inside(path: Column) -> Column:
     """Whether a relative path stays below its root."""
     parts = F.split(path, "/")
