@@ -167,7 +167,8 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     joined = components(near_links(distinct.select("f0"), distance, segments, bucket), "simhash-links")
     classes = distinct.join(joined.withColumnRenamed("node", "f0"), "f0", "left").select("f0", "least", F.coalesce("component", "f0").alias("root"))
     lowest = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    member = classes.join(lowest, "root").select("f0", "component_id")
+    # A table of its own, so that the join can split a fingerprint that many rows have.
+    member = materialize(classes.join(lowest, "root").select("f0", "component_id"), "simhash-members")
     return prints.join(member, "f0").select(
         "doc_id",
         F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"),

@@ -170,6 +170,27 @@ def similar_pairs(random_, shares, count=40, size=200):
             yield share, " ".join(text), " ".join([*text[:other], *[f"x{random_.randrange(10**6)}" for _ in range(size - other)]])
 
 
+def test_simhash_is_all_pairs_end_to_end(spark, texts):
+    rows = QUERIES["op9_simhash"](spark, DATA).collect()
+    got = {r.doc_id: (int(r.fingerprint, 16), r.component_id) for r in rows}
+    prints = {}
+    for i, text in texts.items():
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        shingles = [" ".join(words[k : k + 3]) for k in range(len(words) - 2)] if len(words) >= 3 else [" ".join(words)] * bool(words)
+        hashes = [xxhash.xxh64_intdigest(x, 42) for x in shingles]
+        prints[i] = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    root = {i: i for i in prints}
+    ids = sorted(prints)
+    links = [(a, b) for a in ids for b in ids if a < b and (prints[a] ^ prints[b]).bit_count() <= 2]
+    for _ in ids:
+        before = dict(root)
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            break
+    assert got == {i: (prints[i], root[i]) for i in ids}
+
+
 def near_rows():
     """Pairs of their own at two similarities, and a family whose members are all alike."""
     pairs = list(similar_pairs(random.Random(7), (0.81, 0.85), count=100))
