@@ -1,12 +1,13 @@
 """Byte-level BPE encoding and decoding with Spark's higher-order functions.
 
-A text is cut into words by the tokenizer's pattern. A word's bytes, as an array of pieces, are folded: each step looks up the
-rank of every pair of neighbours in a literal rank map and joins the pair of the lowest rank, until none has a rank. Words that
-are frequent are folded once, as a table of distinct words, and become a second literal map of bounded size; all
-others are folded where they stand. Decoding looks each id's bytes up in a literal array and concatenates them.
+A text is cut into words by the tokenizer's pattern. A word's bytes, as an array of piece ids, are folded: a literal map gives
+the rank of each pair of neighbours (which is the id of what they make), and each step joins the first pair of the lowest rank
+and looks up the two pairs that this makes new, until none has a rank. Words that are frequent are folded once, as a table of
+distinct words, and become a second literal map of bounded size; all others are folded where they stand. Decoding looks
+each id's bytes up in a literal array and concatenates them.
 
 Catalyst scans a map literal from its start, so each literal map is an array of small maps, by the hash of the key.
-Folding takes steps in proportion to a word's length, each over all of its pieces, so texts that hold a word beyond
+A fold takes steps in proportion to a word's length, each of which copies its pieces, so texts that hold a word beyond
 LONGEST bytes go through the tiktoken library instead, whole.
 """
 
@@ -15,7 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -29,12 +30,16 @@ from annolens.llm.base import narrow, slices
 # Fixed value: the tokenizer's word pattern in Java's syntax; white space is Unicode's White_Space.
 _SPACE = r"\t-\r\x{85}\p{Z}"
 JAVA_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
-LONGEST = 64
+LONGEST = 512
 #: Frequent words kept as a literal map, and the documents they are looked for in, in expectation. They only save work.
 FREQUENT = 60_000
 SAMPLE_DOCS = 8_000
-#: Small maps of a literal map.
+#: Small maps of the literal map of words, and of that of pairs.
 BUCKETS = 1 << 14
+PAIR_BUCKETS = 65_537
+#: A state of a fold is an array of numbers: the rank of the pair that a piece opens, where the piece began, and the piece.
+PIECE, PLACE = 1 << 20, 1 << 40
+UNRANKED = 1 << 20
 
 
 @cache
@@ -61,13 +66,32 @@ def _find(table: Column, key: Column) -> Column:
     return F.try_element_at(F.get(table, F.pmod(F.hash(key), F.lit(BUCKETS))), key)
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once: a transform of one element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _piece(x: Column) -> Column:
+    return x.bitwiseAND(F.lit(PIECE - 1).cast("long"))
+
+
 class Codec:
     def __init__(self, spark: SparkSession, path: str, pattern: str):
         self.spark, self.path, self.pattern = spark, path, pattern
         ranks = ranks_of(path)
-        table = spark.createDataFrame([(k.hex(), v) for k, v in ranks.items()], "key string, value int")
-        self.rank_map = _literal_map(table, "int")
-        by_id = [""] * (max(ranks.values()) + 1)
+        size = max(ranks.values()) + 1
+        # A piece is known by its rank, so a pair of pieces is one number.
+        self.base = size
+        pairs: list[dict[str, int]] = [{} for _ in range(PAIR_BUCKETS)]
+        for made, rank in ranks.items():
+            for cut in range(1, len(made)):
+                left, right = ranks.get(made[:cut]), ranks.get(made[cut:])
+                if left is not None and right is not None:
+                    key = left * size + right
+                    pairs[key % PAIR_BUCKETS][str(key)] = rank
+        self.pairs = F.from_json(F.lit(json.dumps(pairs)), "array<map<string,int>>").cast("array<map<bigint,int>>")
+        self.single = F.from_json(F.lit(json.dumps([ranks[bytes([k])] for k in range(256)])), "array<int>")
+        by_id = [""] * size
         for k, v in ranks.items():
             by_id[v] = k.hex()
         self.pieces = F.from_json(F.lit(json.dumps(by_id)), "array<string>")
@@ -77,36 +101,38 @@ class Codec:
     def words(self, text: str) -> Column:
         return F.regexp_extract_all(text, F.lit(JAVA_PATTERN), F.lit(0))
 
-    def fold(self, word: Column) -> Column:
-        """The ids of a word: ranked merges folded over its bytes."""
-
-        def step(state: Column, _: Column) -> Column:
-            pairs = F.transform(F.slice(state, 1, F.size(state) - 1), lambda piece, at: _find(self.rank_map, F.concat(piece, F.get(state, at + 1))))
-            return self._merged(state, pairs)
-
-        hexed = F.lower(F.hex(word.cast("binary")))
-        start = F.transform(F.sequence(F.lit(1), F.length(hexed), F.lit(2)), lambda at: F.substring(hexed, at, F.lit(2)))
-        merged = F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), start, step)
-        return F.transform(merged, lambda piece: _find(self.rank_map, piece))
-
-    @staticmethod
-    def _merged(state: Column, pairs: Column) -> Column:
-        # let-bindings by a one-element transform: the ranks are computed once a step
-        return F.element_at(
-            F.transform(
-                F.array(F.struct(F.array_min(pairs).alias("low"), pairs.alias("ranks"))),
-                lambda b: F.when(b["low"].isNull(), state).otherwise(
-                    F.element_at(
-                        F.transform(
-                            F.array(F.array_position(b["ranks"], b["low"]).cast("int")),
-                            lambda at: F.concat(F.slice(state, 1, at - 1), F.array(F.concat(F.element_at(state, at), F.element_at(state, at + 1))), F.slice(state, at + 2, F.size(state))),
-                        ),
-                        1,
-                    )
-                ),
-            ),
-            1,
-        )
+    def rank(self, pairs: Column, left: Column, right: Column) -> Column:
+        """The rank of two neighbours, UNRANKED if they do not merge or one is null."""
+        key = left * F.lit(self.base).cast("long") + right
+        return F.coalesce(F.try_element_at(F.get(pairs, F.pmod(key, F.lit(PAIR_BUCKETS)).cast("int")), key), F.lit(UNRANKED)).cast("long")
+
+    def fold(self, word: Column, pairs: Column | None = None) -> Column:
+        """The ids of a word: ranked merges folded over its bytes. pairs is self.pairs or a variable bound to it."""
+        if pairs is None:
+            return _bound(self.pairs, lambda bound: self.fold(word, bound))
+        # one character a byte, whose code is the byte
+        chars = F.decode(word.cast("binary"), "ISO-8859-1")
+        start = F.transform(F.sequence(F.lit(1), F.octet_length(word)), lambda at: F.get(self.single, F.ascii(F.substring(chars, at, F.lit(1)))))
+        state = _bound(start, lambda p: F.transform(p, lambda piece, at: self.rank(pairs, piece, F.get(p, at + 1)) * PLACE + at.cast("long") * PIECE + piece))
+        merged = F.aggregate(F.sequence(F.lit(2), F.greatest(F.lit(2), F.octet_length(word))), state, lambda s, _: self._step(pairs, s))
+        return F.transform(merged, lambda x: _piece(x).cast("int"))
+
+    def _step(self, pairs: Column, state: Column) -> Column:
+        """Join the first pair of the lowest rank: its left piece becomes the whole, its right piece goes."""
+
+        def joined(best: Column, at: Column) -> Column:
+            made = F.shiftright(best, 40)
+            behind = _piece(F.get(state, at + 1))
+            here = self.rank(pairs, made, behind) * PLACE + best.bitwiseAND(F.lit(PLACE - PIECE)) + made
+            return F.transform(
+                F.filter(state, lambda _, i: i != at),
+                lambda x, i: F.when(i == at - 1, here).when(i == at - 2, self.rank(pairs, _piece(x), made) * PLACE + x.bitwiseAND(F.lit(PLACE - 1))).otherwise(x),
+            )
+
+        def merged(best: Column) -> Column:
+            return F.when(best >= F.lit(UNRANKED * PLACE), state).otherwise(_bound(F.array_position(state, best).cast("int"), lambda at: joined(best, at)))
+
+        return _bound(F.array_min(state), merged)
 
     def learn(self, rows: DataFrame, total: int, *, frequent: int = FREQUENT, sample: int = SAMPLE_DOCS) -> None:
         """Fold the most frequent words of a bounded sample of documents once, as a table of distinct words."""
@@ -118,9 +144,12 @@ class Codec:
         self.frequent = _literal_map(top.repartition(self.spark.sparkContext.defaultParallelism).select("key", self.fold(F.col("key")).alias("value")), "array<int>")
 
     def ids(self, words: Column) -> Column:
-        if self.frequent is None:
-            return F.flatten(F.transform(words, self.fold))
-        return F.flatten(F.transform(words, lambda w: F.coalesce(_find(self.frequent, w), self.fold(w))))
+        def each(pairs: Column) -> Column:
+            if self.frequent is None:
+                return F.transform(words, lambda w: self.fold(w, pairs))
+            return F.transform(words, lambda w: F.coalesce(_find(self.frequent, w), self.fold(w, pairs)))
+
+        return F.flatten(_bound(self.pairs, each))
 
     def id_bytes(self, ids: str) -> Column:
         """Ids as little-endian unsigned 32-bit integers."""
