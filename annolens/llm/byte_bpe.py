@@ -32,8 +32,8 @@ _SPACE = r"\t-\r\x{85}\p{Z}"
 JAVA_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 LONGEST = 512
 #: Frequent words kept as a literal map, and the documents they are looked for in, in expectation. They only save work.
-FREQUENT = 60_000
-SAMPLE_DOCS = 8_000
+FREQUENT = 150_000
+SAMPLE_DOCS = 16_000
 #: Small maps of the literal map of words, and of that of pairs.
 BUCKETS = 1 << 14
 PAIR_BUCKETS = 65_537
