@@ -7,8 +7,9 @@ distinct words, and become a second literal map of bounded size; all others are
 each id's bytes up in a literal array and concatenates them.
 
 Catalyst scans a map literal from its start, so each literal map is an array of small maps, by the hash of the key.
-A fold takes steps in proportion to a word's length, each of which copies its pieces, so texts that hold a word beyond
-LONGEST bytes go through the tiktoken library instead, whole.
+A fold takes steps in proportion to a word's length, each of which copies its pieces, so texts that hold LONGEST characters
+of one kind in a row go through the tiktoken library instead, whole. Which texts these are is asked of the text, so that words
+are extracted once.
 """
 
 from __future__ import annotations
@@ -31,11 +32,12 @@ from annolens.llm.base import narrow, slices
 _SPACE = r"\t-\r\x{85}\p{Z}"
 JAVA_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 LONGEST = 512
+LONG_RUN = "|".join(rf"{kind}{{{LONGEST}}}" for kind in (r"\p{L}", r"\p{N}", rf"[{_SPACE}]", rf"[^{_SPACE}\p{{L}}\p{{N}}]"))
 #: Frequent words kept as a literal map, and the documents they are looked for in, in expectation. They only save work.
 FREQUENT = 150_000
 SAMPLE_DOCS = 16_000
 #: Small maps of the literal map of words, and of that of pairs.
-BUCKETS = 1 << 14
+BUCKETS = 1 << 16
 PAIR_BUCKETS = 65_537
 #: A state of a fold is an array of numbers: the rank of the pair that a piece opens, where the piece began, and the piece.
 PIECE, PLACE = 1 << 20, 1 << 40
@@ -54,10 +56,10 @@ def library(path: str, pattern: str) -> tiktoken.Encoding:
 
 
 def _literal_map(entries: DataFrame, value: str) -> Column:
-    """A literal array of maps from entries (key string, value), which must be few: they pass through the driver."""
-    rows = entries.select(F.pmod(F.hash("key"), F.lit(BUCKETS)).alias("b"), "key", "value").collect()
+    """A literal array of maps from entries (key string, value, n), which must be few: they pass through the driver. Large n are found first."""
+    rows = entries.select(F.pmod(F.hash("key"), F.lit(BUCKETS)).alias("b"), "key", "value", "n").collect()
     buckets: list[dict] = [{} for _ in range(BUCKETS)]
-    for r in rows:
+    for r in sorted(rows, key=lambda r: (-r["n"], r["key"])):
         buckets[r["b"]][r["key"]] = r["value"]
     return F.from_json(F.lit(json.dumps(buckets, ensure_ascii=False)), f"array<map<string,{value}>>")
 
@@ -141,7 +143,7 @@ class Codec:
         part = rows.where(F.pmod(F.xxhash64("text"), F.lit(span)) < share)
         counted = part.select(F.explode(self.words("text")).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
         top = counted.where((F.octet_length("key") <= LONGEST) & (F.col("n") > 1)).orderBy(F.desc("n"), "key").limit(frequent)
-        self.frequent = _literal_map(top.repartition(self.spark.sparkContext.defaultParallelism).select("key", self.fold(F.col("key")).alias("value")), "array<int>")
+        self.frequent = _literal_map(top.repartition(self.spark.sparkContext.defaultParallelism).select("key", self.fold(F.col("key")).alias("value"), "n"), "array<int>")
 
     def ids(self, words: Column) -> Column:
         def each(pairs: Column) -> Column:
@@ -169,9 +171,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     codec = Codec(docs.sparkSession, path, pattern)
     if frequent:
         codec.learn(rows, rows.count(), frequent=frequent)
-    worded = rows.withColumn("words", codec.words("text"))
-    long = F.exists("words", lambda w: F.octet_length(w) > LONGEST)
-    short = worded.where(~long).select("doc_id", codec.ids(F.col("words")).alias("ids"))
+    long = F.col("text").rlike(LONG_RUN)
+    short = rows.where(~long).select("doc_id", codec.ids(codec.words("text")).alias("ids"))
     kind = dict(rows.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +181,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             ids = [coder.encode_ordinary(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    whole = worded.where(long).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    whole = rows.where(long).mapInArrow(run, f"doc_id {kind}, ids array<int>")
     return short.unionByName(whole), codec
 
 

@@ -418,6 +418,7 @@ def test_token_files(spark, documents, texts, odd, tmp_path):
 @pytest.mark.parametrize("frequent", [0, 200])
 def test_byte_bpe_is_tiktokens(spark, odd, frequent):
     more = [(20, "it's 12345 tests,   spaces\n\n  and 'LL"), (21, "naïve — “quotes”…"), (22, "\U0001f468‍\U0001f469"), (23, "統計的自然言語処理における単語分割" * 9), (24, "-" * 500 + "ab" * 200)]
+    more += [(25, "x " + "計" * (byte_bpe.LONGEST - 1)), (26, "x " + "ab" * byte_bpe.LONGEST), (27, "a\n" + " " * byte_bpe.LONGEST)]  # below and above the limit of folds
     rows = [*ODD, *more]
     coded, codec = byte_bpe.encode(docs_of(spark, rows), BYTE, public_tokenizers.PATTERN, frequent=frequent)
     got = Counter(tuple(r) for r in byte_bpe.bpe_digest(coded, codec).collect())
