@@ -17,7 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
@@ -26,7 +26,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annolens.llm.base import narrow, slices
+from annolens.llm.base import narrow
 
 # Fixed value: the tokenizer's word pattern in Java's syntax; white space is Unicode's White_Space.
 _SPACE = r"\t-\r\x{85}\p{Z}"
@@ -171,18 +171,15 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     codec = Codec(docs.sparkSession, path, pattern)
     if frequent:
         codec.learn(rows, rows.count(), frequent=frequent)
-    long = F.col("text").rlike(LONG_RUN)
-    short = rows.where(~long).select("doc_id", codec.ids(codec.words("text")).alias("ids"))
-    kind = dict(rows.dtypes)["doc_id"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("array<int>")
+    def whole(texts: pa.Array) -> pa.Array:
         coder = library(path, pattern)
-        for batch in slices(batches):
-            ids = [coder.encode_ordinary(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        return pa.array([None if x is None else coder.encode_ordinary(x) for x in texts.to_pylist()], pa.list_(pa.int32()))
 
-    whole = rows.where(long).mapInArrow(run, f"doc_id {kind}, ids array<int>")
-    return short.unionByName(whole), codec
+    # Python sees the long texts alone, and no second branch of the plan carries the literals once more.
+    marked = rows.withColumn("whole", whole(F.when(F.col("text").rlike(LONG_RUN), F.col("text"))))
+    return marked.select("doc_id", F.coalesce("whole", codec.ids(codec.words("text"))).alias("ids")), codec
 
 
 def bpe_digest(encoded: DataFrame, codec: Codec) -> DataFrame:
