@@ -34,10 +34,10 @@ JAVA_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{
 LONGEST = 512
 LONG_RUN = "|".join(rf"{kind}{{{LONGEST}}}" for kind in (r"\p{L}", r"\p{N}", rf"[{_SPACE}]", rf"[^{_SPACE}\p{{L}}\p{{N}}]"))
 #: Frequent words kept as a literal map, and the documents they are looked for in, in expectation. They only save work.
-FREQUENT = 150_000
+FREQUENT = 80_000
 SAMPLE_DOCS = 16_000
 #: Small maps of the literal map of words, and of that of pairs.
-BUCKETS = 1 << 16
+BUCKETS = 1 << 14
 PAIR_BUCKETS = 65_537
 #: A state of a fold is an array of numbers: the rank of the pair that a piece opens, where the piece began, and the piece.
 PIECE, PLACE = 1 << 20, 1 << 40
