@@ -14,6 +14,7 @@ from annolens.llm.exact_dedup import exact_dedup
 from annolens.llm.license_scan import license_digest, license_scan
 from annolens.llm.packing import pack
 from annolens.llm.pii import pii, pii_digest
+from annolens.llm.resample import resample
 from annolens.llm.simhash import simhash_dedup
 from annolens.llm.token_files import read_tokens, token_index, write_tokens
 
@@ -71,6 +72,10 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_license_scan": op2_license_scan,
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_simhash": op9_simhash,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_resample": op11_resample,
 }
 
 ORACLE: dict[str, str] = {
