@@ -14,6 +14,7 @@ from annolens.llm.exact_dedup import exact_dedup
 from annolens.llm.license_scan import license_digest, license_scan
 from annolens.llm.packing import pack
 from annolens.llm.pii import pii, pii_digest
+from annolens.llm.quality_rules import quality_rules
 from annolens.llm.resample import resample
 from annolens.llm.simhash import simhash_dedup
 from annolens.llm.token_files import read_tokens, token_index, write_tokens
@@ -76,6 +77,10 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_license_scan": op2_license_scan,
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_embedding_dedup": op10_embedding_dedup,
     "op11_resample": op11_resample,
+    "op12_quality_rules": op12_quality_rules,
 }
 
 ORACLE: dict[str, str] = {
@@ -104,4 +110,35 @@ ORACLE: dict[str, str] = {
         least AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u), counted AS (SELECT u, count(*) AS n_links FROM links GROUP BY u)
         SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN least ON vec_id = least.u LEFT JOIN counted ON vec_id = counted.u
     """,
+    "op11_resample": r"""
+    WITH bits AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+    texts AS (SELECT 1 AS doc, row_number() OVER () AS k, doc_id, text FROM documents UNION ALL SELECT 0, row_number() OVER (), NULL, text FROM benchmark),
+    split AS (SELECT doc, k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+    features AS (SELECT doc, k, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM split),
+    hashed AS (SELECT f, xor(list_reduce(list_concat([4294967295], list_transform(range(octet_length(encode(f))), lambda i: CAST('0x' || substr(hex(encode(f)), 2 * i + 1, 2) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS b FROM (SELECT DISTINCT f FROM features), bits),
+    placed AS (SELECT doc, k, b FROM features JOIN hashed USING (f)),
+    counts AS (SELECT b, count(*) FILTER (doc = 1) AS s, count(*) FILTER (doc = 0) AS t FROM placed GROUP BY b),
+    gains AS (SELECT b, CAST(floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE))) AS BIGINT) AS gain FROM counts),
+    weighed AS (SELECT k, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight FROM placed JOIN gains USING (b) WHERE doc = 1 GROUP BY k),
+    scored AS (SELECT doc_id, len(w) AS n, CAST(greatest(2 * len(w) - 1, 0) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM split LEFT JOIN weighed USING (k) WHERE doc = 1),
+    placed_rows AS (SELECT *, row_number() OVER (PARTITION BY n >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n >= 20) OVER () AS eligible FROM scored)
+    SELECT doc_id, n_features, weight, score, CASE WHEN n >= 20 AND place <= 25 * eligible // 100 THEN place END AS rank FROM placed_rows
+    """,
+    "op12_quality_rules": r"""
+    WITH texts AS (SELECT row_number() OVER () AS k, doc_id, source, coalesce(text, '') AS t FROM documents),
+    split AS (SELECT k, doc_id, source, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM texts),
+    windows AS (SELECT k, unnest(range(1, len(w) - 1)) AS i, w FROM split WHERE len(w) > 2),
+    twins AS (SELECT k, i FROM windows QUALIFY count(*) OVER (PARTITION BY k, w[i], w[i + 1], w[i + 2]) > 1),
+    covered AS (SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest([i, i + 1, i + 2]) AS p FROM twins) GROUP BY k),
+    rows AS (SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(l) AS n_lines FROM split LEFT JOIN covered USING (k)),
+    tested AS (SELECT *, {'short': n_words < 50, 'repetitive': 100 * n_repeat_words > 50 * n_words, 'symbols': 10 * n_symbols > n_words, 'word_length': word_chars < 2 * n_words OR word_chars > 12 * n_words, 'lines': 100 * n_dup_lines > 30 * n_lines} AS f FROM rows),
+    long AS (SELECT source, unnest(['short', 'repetitive', 'symbols', 'word_length', 'lines']) AS rule, unnest([f.short, f.repetitive, f.symbols, f.word_length, f.lines]) AS failed FROM tested WHERE source IS NOT NULL),
+    hosts AS (SELECT source, rule, count(*)::DOUBLE AS n, count(*) FILTER (failed)::DOUBLE AS x FROM long GROUP BY ALL),
+    sums AS (SELECT rule, count(*) AS h, sum(n) AS docs, sum(n * n) AS docs2, sum(x) / sum(n) AS mean, sum(x * x / n) - sum(x) * sum(x) / sum(n) AS spread FROM hosts GROUP BY rule),
+    alike AS (SELECT *, CASE WHEN mean * (1 - mean) > 0 AND docs - docs2 / docs - (h - 1) > 0 THEN least(greatest((spread - mean * (1 - mean) * (h - 1)) / (mean * (1 - mean) * (docs - docs2 / docs - (h - 1))), 1 / 1000001.0::DOUBLE), 1) END AS rho FROM sums),
+    priors AS (SELECT rule, mean, coalesce((1 - rho) / rho, 2) AS strength FROM alike),
+    verdicts AS (SELECT source, max((x + mean * strength) / (n + strength)) AS host_rate FROM hosts JOIN priors USING (rule) GROUP BY source)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f.short OR f.repetitive AS base_failed, NOT (f.short OR f.repetitive) AND coalesce(host_rate <= 0.5, true) AS kept, coalesce(host_rate > 0.5, false) AS host_rejected, round(host_rate, 6) AS host_rate
+    FROM tested LEFT JOIN verdicts USING (source)
+    """,
 }

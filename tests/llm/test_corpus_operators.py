@@ -13,8 +13,9 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from annolens.llm import crc, resample
-from tests.conftest import DATA
+from annolens.llm import crc, quality_rules, resample
+from annolens.llm.queries import ORACLE, QUERIES
+from tests.conftest import DATA, plain
 from tests.llm.test_operators import ODD, docs_of, lower
 
 
@@ -94,3 +95,73 @@ def test_resample_odd_rows(spark):
         assert sorted((tuple(r) for r in got.collect()), key=repr) == slow_resample(rows, target)
     assert resample.resample(docs_of(spark, []), docs_of(spark, [])).count() == 0
     assert [r.rank for r in resample.resample(docs_of(spark, [(1, "too short")]), docs_of(spark, [])).collect()] == [None]
+
+
+@pytest.mark.parametrize("name", ["op11_resample", "op12_quality_rules"])
+def test_queries_match_sql(spark, duck, name):
+    got, want = QUERIES[name](spark, DATA).toPandas(), duck.sql(ORACLE[name]).df()
+    assert sorted(got.columns) == sorted(want.columns) and plain(got) == plain(want)
+
+
+def slow_measures(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    seen = Counter(windows)
+    covered = {i + j for i, w in enumerate(windows) if seen[w] > 1 for j in range(3)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered), len(lines)
+
+
+def slow_rates(rows):
+    """{host: highest shrunk rate} of (host, measures)."""
+    rules = [lambda m: m[0] < 50, lambda m: 100 * m[4] > 50 * m[0], lambda m: 10 * m[2] > m[0], lambda m: m[1] < 2 * m[0] or m[1] > 12 * m[0], lambda m: 100 * m[3] > 30 * m[5]]
+    hosts = {h for h, _ in rows if h is not None}
+    best = dict.fromkeys(hosts, 0.0)
+    for rule in rules:
+        n = {h: sum(x == h for x, _ in rows) for h in hosts}
+        f = {h: sum(x == h and rule(m) for x, m in rows) for h in hosts}
+        docs, p = sum(n.values()), Fraction(sum(f.values()), max(1, sum(n.values())))
+        chance, room = p * (1 - p), docs - Fraction(sum(x * x for x in n.values()), max(1, docs)) - (len(hosts) - 1)
+        strength = Fraction(2)
+        if chance > 0 and room > 0:
+            rho = (sum(n[h] * (Fraction(f[h], n[h]) - p) ** 2 for h in hosts) - chance * (len(hosts) - 1)) / (chance * room)
+            rho = min(max(rho, Fraction(1, 1_000_001)), Fraction(1))
+            strength = (1 - rho) / rho
+        for h in hosts:
+            best[h] = max(best[h], float((f[h] + p * strength) / (n[h] + strength)))
+    return best
+
+
+def test_quality_rules_are_brute_force(spark):
+    random.seed(5)
+    good = lambda: " ".join(f"word{random.randrange(10**6)}" for _ in range(60))
+    bad = lambda: random.choice(["too short", "a b c " * 40, "# " * 60, "same line here\n" * 20])
+    shares = {"fine": (40, 0.05), "mixed": (40, 0.4), "foul": (40, 0.95), "small": (2, 1.0), "": (5, 0.0), None: (9, 0.7)}
+    rows = [(None if k % 19 == 0 else k, bad() if random.random() < p else good(), h) for h, (n, p) in shares.items() for k in range(n)]
+    rows += [(i, t, "odd") for i, t in ODD] + [(1, "a\x00b \x1c\x85 é ü\n\n \n\x0b\nx\r\nx\r\n" * 2, "odd")] + [(2, "same row", "odd")] * 3
+    docs = spark.createDataFrame([(i, t, h, True, 1.0) for i, t, h in rows], "doc_id long, text string, source string, kept boolean, host_rate double")
+    rates = slow_rates([(h, slow_measures(t)) for _, t, h in rows])
+    want = []
+    for i, t, h in rows:
+        m = slow_measures(t)
+        failed, rate = m[0] < 50 or 100 * m[4] > 50 * m[0], rates.get(h)
+        rejected = rate is not None and rate > 0.5
+        want.append((i, *m[:5], failed, not failed and not rejected, rejected, None if rate is None else round(rate, 6)))
+    got = quality_rules.quality_rules(docs).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert {h for h, r in rates.items() if r > 0.5} == {"foul", "odd"} | {h for h in ("small",) if rates[h] > 0.5}
+    assert quality_rules.quality_rules(docs.limit(0)).count() == 0
+
+
+def test_quality_rules_run_no_python(spark, documents):
+    rows = quality_rules.measured(documents)
+    assert "Python" not in rows._jdf.queryExecution().toString() and "Arrow" not in rows._jdf.queryExecution().toString()
+
+
+def test_hosts_may_be_those_of_urls(spark):
+    docs = spark.createDataFrame([(k, "short", f"http://{'ab'[k % 2]}.org/{k}") for k in range(6)], "doc_id long, text string, url string")
+    from pyspark.sql import functions as F
+
+    verdicts = quality_rules.host_verdicts(quality_rules.measured(docs, host=F.expr("parse_url(url, 'HOST')")))
+    assert {(r.host, r.docs, r.failures["short"], r.rejected) for r in verdicts.collect()} == {("a.org", 3, 3, True), ("b.org", 3, 3, True)}
