@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from annolens.llm import byte_bpe, language_id, toxicity
 from annolens.llm.base import is_crc_bucket, new_path
+from annolens.llm.collocations import collocations
 from annolens.llm.embedding_dedup import embedding_dedup
 from annolens.llm.exact_dedup import exact_dedup
 from annolens.llm.license_scan import license_digest, license_scan
@@ -81,6 +82,10 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_license_scan": op2_license_scan,
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_embedding_dedup": op10_embedding_dedup,
     "op11_resample": op11_resample,
     "op12_quality_rules": op12_quality_rules,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE: dict[str, str] = {
@@ -141,4 +147,21 @@ ORACLE: dict[str, str] = {
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f.short OR f.repetitive AS base_failed, NOT (f.short OR f.repetitive) AND coalesce(host_rate <= 0.5, true) AS kept, coalesce(host_rate > 0.5, false) AS host_rejected, round(host_rate, 6) AS host_rate
     FROM tested LEFT JOIN verdicts USING (source)
     """,
+    "op13_collocations": r"""
+    WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+    sizes AS (SELECT unnest([1, 2, 3, 4]) AS k),
+    phrases AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS p FROM split, sizes),
+    f AS (SELECT lang, k, p, count(*)::HUGEINT AS a FROM phrases GROUP BY ALL),
+    totals AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang),
+    candidates AS (SELECT * FROM f WHERE k > 1 AND a >= 30),
+    cuts AS (SELECT lang, k, p, a, unnest(range(1, k)) AS c FROM candidates),
+    scored AS (SELECT x.lang, x.p, x.a, x.c, l.a AS l, r.a AS r, 2000000 * x.a // (l.a + r.a) AS score FROM cuts x JOIN f l ON l.lang = x.lang AND l.p = x.p[1:x.c] JOIN f r ON r.lang = x.lang AND r.p = x.p[x.c + 1:x.k]),
+    lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, c) = 1),
+    inner_sizes AS (SELECT lang, k, p, a, unnest(range(2, k)) AS size FROM candidates WHERE k > 2),
+    parts AS (SELECT lang, a, unnest(list_transform(range(1, k - size + 2), lambda i: p[i:i + size - 1])) AS p FROM inner_sizes),
+    covered AS (SELECT DISTINCT c.lang, c.p FROM candidates c JOIN (SELECT lang, p, max(a) AS longer FROM parts GROUP BY ALL) o ON c.lang = o.lang AND c.p = o.p WHERE 100 * longer >= 80 * c.a),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank FROM lowest ANTI JOIN covered USING (lang, p))
+    SELECT lang, rank, array_to_string(p, ' ') AS phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+    """,
 }

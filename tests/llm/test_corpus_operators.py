@@ -13,7 +13,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from annolens.llm import crc, quality_rules, resample
+from annolens.llm import collocations, crc, quality_rules, resample
 from annolens.llm.queries import ORACLE, QUERIES
 from tests.conftest import DATA, plain
 from tests.llm.test_operators import ODD, docs_of, lower
@@ -97,7 +97,7 @@ def test_resample_odd_rows(spark):
     assert [r.rank for r in resample.resample(docs_of(spark, [(1, "too short")]), docs_of(spark, [])).collect()] == [None]
 
 
-@pytest.mark.parametrize("name", ["op11_resample", "op12_quality_rules"])
+@pytest.mark.parametrize("name", ["op11_resample", "op12_quality_rules", "op13_collocations"])
 def test_queries_match_sql(spark, duck, name):
     got, want = QUERIES[name](spark, DATA).toPandas(), duck.sql(ORACLE[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and plain(got) == plain(want)
@@ -165,3 +165,59 @@ def test_hosts_may_be_those_of_urls(spark):
 
     verdicts = quality_rules.host_verdicts(quality_rules.measured(docs, host=F.expr("parse_url(url, 'HOST')")))
     assert {(r.host, r.docs, r.failures["short"], r.rejected) for r in verdicts.collect()} == {("a.org", 3, 3, True), ("b.org", 3, 3, True)}
+
+
+def slow_collocations(rows, least, share, top):
+    """The contract's rows of (text, lang)."""
+    f, n = Counter(), Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower(text or "")):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            for k in range(1, 5):
+                f.update((lang, tuple(w[i : i + k])) for i in range(len(w) - k + 1))
+    candidates = {x: a for x, a in f.items() if len(x[1]) > 1 and a >= least}
+    dropped = set()
+    for (lang, p), a in candidates.items():
+        for size in range(2, len(p)):
+            for i in range(len(p) - size + 1):
+                part = (lang, p[i : i + size])
+                if part in candidates and 100 * a >= share * candidates[part]:
+                    dropped.add(part)
+    found = []
+    for (lang, p), a in candidates.items():
+        if (lang, p) not in dropped:
+            score, _, l, r = min((2_000_000 * a // (f[lang, p[:k]] + f[lang, p[k:]]), k, f[lang, p[:k]], f[lang, p[k:]]) for k in range(1, len(p)))
+            found.append((lang, -score, -a, " ".join(p).encode(), l, r))
+    out = []
+    for lang in sorted(n):
+        best = sorted(x for x in found if x[0] == lang)[:top]
+        out += [(lang, k + 1, p.decode(), -a, l, r, n[lang], -score) for k, (_, score, a, p, l, r) in enumerate(best)]
+    return out
+
+
+@pytest.mark.parametrize("least, top, slots, block", [(3, 2000, None, 1 << 20), (2, 40, 256, 500)])
+def test_collocations_are_brute_force(spark, documents, least, top, slots, block):
+    """Also with a bitmap in which nearly every bit is set, and with blocks that cut the corpus."""
+    rows = [(r.text, r.lang) for r in documents.select("text", "lang").collect()][:60]
+    rows += [("One two. three four five one two\tthree", None), (None, "en"), ("", None), ("a a a a a a. a a\x0ba", "en"), ("é ü É\x00x \x1c é ü", "und"), ("x" * 300 + " tail " + "x" * 300 + " tail", None)] * 4
+    docs = spark.createDataFrame([(t, g, 1, 2) for t, g in rows], "text string, lang string, n int, phrase int").repartition(3)
+    got = collocations.collocations(docs, least=least, top=top, slots=slots, block=block).collect()
+    assert sorted(map(tuple, got)) == sorted(slow_collocations(rows, least, 80, top))
+
+
+def test_collocations_odd_rows(spark, odd_docs):
+    assert collocations.collocations(odd_docs).count() == len(slow_collocations([(t, "en") for _, t in ODD], 30, 80, 2000))
+    assert collocations.collocations(odd_docs.limit(0)).count() == 0
+
+
+def test_scores_pass_64_bits(spark):
+    big = 4 * 10**18
+    counts = spark.createDataFrame([("en", "a", 1, big + 7), ("en", "b", 1, big + 9), ("en", "a b", 2, big)], "lang string, phrase string, k int, n long")
+    assert [tuple(r) for r in collocations.scored_cuts(counts.where("k > 1"), counts).collect()] == [("en", "a b", big, big + 7, big + 9, 2_000_000 * big // (2 * big + 16))]
+
+
+@pytest.fixture(scope="module")
+def odd_docs(spark):
+    return docs_of(spark, ODD)
