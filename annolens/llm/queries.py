@@ -133,8 +133,8 @@ ORACLE: dict[str, str] = {
     "op12_quality_rules": r"""
     WITH texts AS (SELECT row_number() OVER () AS k, doc_id, source, coalesce(text, '') AS t FROM documents),
     split AS (SELECT k, doc_id, source, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM texts),
-    windows AS (SELECT k, unnest(range(1, len(w) - 1)) AS i, w FROM split WHERE len(w) > 2),
-    twins AS (SELECT k, i FROM windows QUALIFY count(*) OVER (PARTITION BY k, w[i], w[i + 1], w[i + 2]) > 1),
+    windows AS (SELECT k, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda j: w[j] || ' ' || w[j + 1] || ' ' || w[j + 2])) AS three FROM split WHERE len(w) > 2),
+    twins AS (SELECT k, i FROM windows QUALIFY count(*) OVER (PARTITION BY k, three) > 1),
     covered AS (SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest([i, i + 1, i + 2]) AS p FROM twins) GROUP BY k),
     rows AS (SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(l) AS n_lines FROM split LEFT JOIN covered USING (k)),
     tested AS (SELECT *, {'short': n_words < 50, 'repetitive': 100 * n_repeat_words > 50 * n_words, 'symbols': 10 * n_symbols > n_words, 'word_length': word_chars < 2 * n_words OR word_chars > 12 * n_words, 'lines': 100 * n_dup_lines > 30 * n_lines} AS f FROM rows),
