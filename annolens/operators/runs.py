@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from annolens.operators import ladder
 from annolens.operators.contracts import DEFICITS, at, file_set_reason, items
-from annolens.operators.sampling import band_targets, stratified_quota, type_targets
+from annolens.operators.matching import matched
 from annolens.operators.summary import NOTICEABLE, criteria, long_grades, summarize, unit_means
 from annolens.operators.validate import Check, first_reason
 
@@ -22,8 +22,6 @@ ORDERS = {
 }
 #: Bytes of sources that a change may come with.
 CONTEXT_BYTES = 200_000
-# Fixed value: bands in the order in which a sample fills them.
-BANDS = ["long", "medium", "short"]
 
 
 def in_order(rows: DataFrame, kind: str) -> DataFrame:
@@ -35,9 +33,15 @@ def missing_cases(rows: DataFrame, cases: DataFrame) -> DataFrame:
     return rows.join(cases.select("id"), "id", "left_anti")
 
 
-def scored_rows(grades: DataFrame, measured: DataFrame, optimal: DataFrame | None = None) -> DataFrame:
-    """Criteria of each answer whose meaning holds, with the first that it fails."""
-    rows = criteria(grades, measured, optimal).where("precondition")
+def scored_rows(grades: DataFrame, measured: DataFrame, optimal: DataFrame | None = None, cases: DataFrame | None = None) -> DataFrame:
+    """Criteria of every answer, with the first that it fails; whether its meaning holds (`precondition`) stands beside them and gates nothing.
+
+    With cases (id, path), an answer without a case ends the query, and verdicts of whole files (path, arm, passed) meet their file's answers.
+    """
+    rows = criteria(grades, measured, None if cases is not None else optimal)
+    if cases is not None:
+        rows = matched(rows, cases.select("id", "path"), ["id"], what="answer without a case")
+        rows = rows.drop("optimal").join(optimal.select("path", "arm", F.col("passed").alias("optimal")), ["path", "arm"], "left") if optimal is not None else rows
     return rows.withColumn("first_failure", ladder.first_failure(LADDER))
 
 
@@ -137,21 +141,3 @@ def guide(rules: DataFrame, key: str, parts: list[str], title: str = "Guide") ->
     joined = rules.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), body.alias("b")))), lambda r: r["b"]), "\n\n").alias("body"))
     return joined.select(F.concat(F.lit(f"# {title}\n\n"), "body").alias("text")).withColumn("sha256", F.sha2("text", 256))
 
-
-def selection(rows: DataFrame, totals: dict[str, int], *, path: str = "path", split: str = "split", band: str = "band", kind: str = "kind", order: str = "sha", cap: int) -> DataFrame:
-    """A stratified sample of every split: bands share a split's total, functional classes a band's as far as there are any.
-
-    Inside a band the rarest class comes first, ties by name. What each split, band and class has is a few counts, which
-    pass through the driver; the rows do not. A stratum that the cap of rows a path leaves short gives fewer rows: compare with `totals`.
-    """
-    held = {(r[0], r[1], r[2]): r[3] for r in rows.groupBy(split, band, kind).count().collect()}
-    chosen = None
-    for name, total in totals.items():
-        quotas: dict[tuple[str, str], int] = {}
-        for b, n in band_targets(total, BANDS).items():
-            available = {k: c for (s, at_band, k), c in held.items() if (s, at_band) == (name, b)}
-            wanted = type_targets(n, available)
-            quotas |= {(b, k): wanted[k] for k in sorted(wanted, key=lambda k: (available.get(k, 0), k)) if wanted[k]}
-        part = stratified_quota(rows.where(F.col(split) == name), quotas, path=path, band=band, kind=kind, order=order, cap=cap)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    return chosen

@@ -64,22 +64,28 @@ def passes_screen(grades: DataFrame, style: tuple[str, ...] = STYLE) -> DataFram
 
 
 def criteria(grades: DataFrame, measured: DataFrame, optimal: DataFrame | None = None, style: tuple[str, ...] = STYLE) -> DataFrame:
-    """(id, repeat, arm, precondition, clean, effective, invasive, optimal) of each generated answer.
+    """(id, repeat, arm, precondition, clean, effective, invasive, optimal, deficits, upstream_deficits, beats_upstream) of each generated answer.
 
     measured: (id, repeat, arm, band, restatement, foreign_per_100) for every arm, upstream included; optimal: (id, repeat, arm, passed)
-    or nothing, then the last verdict is null: not judged.
+    or nothing, then the last verdict is null: not judged. deficits and upstream_deficits map each dimension of style to its mean grade; an answer beats upstream if
+    none of its grades is higher. An upstream that was not graded leaves that null.
     """
-    means = unit_means(grades)
+    each = Window.partitionBy("id", "repeat", "dimension")
+    means = unit_means(grades).withColumn("up", F.max(F.when(F.col("arm") == "upstream", F.col("grade"))).over(each))
+    at = lambda name: F.max(F.when(F.col("dimension") == name, F.col("grade"))).alias(name)
+    styled = F.col("dimension").isin(*style)
+    by_name = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.when(styled, F.struct("dimension", c)))))
     wide = means.groupBy("id", "repeat", "arm").agg(
-        F.max(F.when(F.col("dimension") == "meaning", F.col("grade"))).alias("meaning"), F.max(F.when(F.col("dimension") == "usefulness", F.col("grade"))).alias("usefulness"), F.max(F.when(F.col("dimension").isin(*style), F.col("grade"))).alias("style")
-    )
+        at("meaning"), at("usefulness"), F.max(F.when(styled, F.col("grade"))).alias("style"), by_name("grade").alias("deficits"), by_name("up").alias("upstream_deficits"),
+        F.bool_and(F.when(styled, F.col("grade") <= F.col("up"))).alias("beats_upstream"),
+    )
     upstream = measured.where("arm = 'upstream'").select("id", "repeat", *[F.col(c).alias(f"up_{c}") for c in ("band", "restatement", "foreign_per_100")])
     rows = wide.where("arm <> 'upstream'").join(measured, ["id", "repeat", "arm"]).join(upstream, ["id", "repeat"])
     verdict = optimal.select("id", "repeat", "arm", F.col("passed").alias("optimal")) if optimal is not None else None
     rows = rows.join(verdict, ["id", "repeat", "arm"], "left") if verdict is not None else rows.withColumn("optimal", F.lit(None).cast("boolean"))
     return rows.select(
         "id", "repeat", "arm", (F.col("meaning") < NOTICEABLE).alias("precondition"), (F.col("style") < NOTICEABLE).alias("clean"), ((F.col("band") == F.col("up_band")) & (F.col("usefulness") < NOTICEABLE)).alias("effective"),
-        ((F.col("restatement") <= F.col("up_restatement")) & (F.col("foreign_per_100") <= F.col("up_foreign_per_100"))).alias("invasive"), "optimal",
+        ((F.col("restatement") <= F.col("up_restatement")) & (F.col("foreign_per_100") <= F.col("up_foreign_per_100"))).alias("invasive"), "optimal", "deficits", "upstream_deficits", "beats_upstream",
     )
 
 

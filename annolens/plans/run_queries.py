@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annolens.operators import code, runs
+from annolens.operators.matching import matched
 from annolens.operators.summary import ARMS
 from annolens.operators.validate import DIMENSIONS
 from annolens.plans.registry import query
@@ -24,9 +25,10 @@ _BASE_SQL = f"""
     graded AS (SELECT *, unnest([0, 1, 2, 3, 4, 5]) AS d FROM numbered), grades AS (SELECT doc_id AS id, arm, d, {_GRADE} AS grade, quality FROM graded), measured AS (SELECT doc_id AS id, arm, {_MEASURED} FROM numbered)
 """
 _SCORED_SQL = f"""
-    {_BASE_SQL}, wide AS (SELECT id, arm, max(grade) FILTER (d = 4) AS meaning, max(grade) FILTER (d = 5) AS usefulness, max(grade) FILTER (d < 4) AS style FROM grades GROUP BY ALL),
-    scored AS (SELECT w.id, w.arm, style < 2 AS clean, m.band = u.band AND usefulness < 2 AS effective, m.restatement <= u.restatement AND m.foreign_per_100 <= u.foreign_per_100 AS invasive, CASE WHEN w.id % 3 > 0 THEN w.id % 3 = 1 END AS optimal
-        FROM wide w JOIN measured m USING (id, arm) JOIN measured u ON u.id = w.id AND u.arm = 'upstream' WHERE w.arm <> 'upstream' AND meaning < 2)
+    {_BASE_SQL}, wide AS (SELECT id, arm, max(grade) FILTER (d = 4) AS meaning, max(grade) FILTER (d = 5) AS usefulness, max(grade) FILTER (d < 4) AS style, array_to_string(list(grade ORDER BY d) FILTER (d < 4), '') AS by_style FROM grades GROUP BY ALL),
+    scored AS (SELECT w.id, w.arm, w.meaning < 2 AS precondition, w.style < 2 AS clean, m.band = u.band AND w.usefulness < 2 AS effective, m.restatement <= u.restatement AND m.foreign_per_100 <= u.foreign_per_100 AS invasive, CASE WHEN w.id % 3 > 0 THEN w.id % 3 = 1 END AS optimal,
+            len(list_filter(range(1, 5), lambda k: w.by_style[k] > t.by_style[k])) = 0 AS beats_upstream, CAST(list_max(list_transform(range(1, 5), lambda k: CAST(t.by_style[k] AS INT))) AS DOUBLE) AS worst_upstream
+        FROM wide w JOIN wide t ON t.id = w.id AND t.arm = 'upstream' JOIN measured m ON m.id = w.id AND m.arm = w.arm JOIN measured u ON u.id = w.id AND u.arm = 'upstream' WHERE w.arm <> 'upstream')
 """
 
 
@@ -42,10 +44,41 @@ def _verdicts(grades: DataFrame) -> DataFrame:
     return grades.select("id", "repeat", "arm").distinct().select("id", "repeat", "arm", F.when(F.col("id") % 3 > 0, F.col("id") % 3 == 1).alias("passed"))
 
 
-@query("scored_rows", f"WITH {_SCORED_SQL} SELECT id, arm, clean, effective, invasive, optimal, CASE WHEN NOT clean THEN 'clean' WHEN NOT effective THEN 'effective' WHEN NOT invasive THEN 'invasive' WHEN NOT optimal THEN 'optimal' ELSE 'none' END AS first_failure FROM scored")
+@query("scored_rows", f"WITH {_SCORED_SQL} SELECT id, arm, precondition, clean, effective, invasive, optimal, beats_upstream, worst_upstream, CASE WHEN NOT clean THEN 'clean' WHEN NOT effective THEN 'effective' WHEN NOT invasive THEN 'invasive' WHEN NOT optimal THEN 'optimal' ELSE 'none' END AS first_failure FROM scored")
 def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     grades, measured = _graded(spark, sf_dir)
-    return runs.scored_rows(grades, measured, _verdicts(grades)).drop("repeat", "precondition")
+    rows = runs.scored_rows(grades, measured, _verdicts(grades))
+    return rows.withColumn("worst_upstream", F.array_max(F.map_values("upstream_deficits"))).drop("repeat", "deficits", "upstream_deficits")
+
+
+@query("file_verdicts", f"""
+    WITH {_SCORED_SQL}, cases AS (SELECT l.doc_id AS id, source AS path FROM labels l JOIN documents d USING (doc_id)), files AS (SELECT path, arm, hash_of % 3 = 0 AS passed FROM (SELECT DISTINCT path, CAST(substr(path, 4) AS INT) AS hash_of FROM cases), (SELECT unnest(['without_spec', 'with_spec']) AS arm) WHERE (hash_of + length(arm)) % 4 > 0)
+    SELECT s.arm, path, count(*) AS rows, count(*) FILTER (f.passed) AS optimal, count(*) FILTER (f.passed IS NULL) AS unjudged, count(*) FILTER (clean AND effective AND invasive AND f.passed) AS standing FROM scored s JOIN cases USING (id) LEFT JOIN files f USING (path, arm) GROUP BY s.arm, path
+""")
+def file_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of whole files meet the answers of their file, by path and arm."""
+    grades, measured = _graded(spark, sf_dir)
+    cases = table(spark, sf_dir, "labels").select("doc_id").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").select(F.col("doc_id").alias("id"), F.col("source").alias("path"))
+    number = F.substring("path", 4, 9).cast("int")
+    files = cases.select("path").distinct().select("path", F.explode(F.array(*map(F.lit, ARMS[:2]))).alias("arm"), (number % 3 == 0).alias("passed")).where((number + F.length("arm")) % 4 > 0)
+    rows = runs.scored_rows(grades, measured, files, cases)
+    held = F.col("clean") & F.col("effective") & F.col("invasive") & F.col("optimal")
+    return rows.groupBy("arm", "path").agg(F.count("*").alias("rows"), F.count_if("optimal").alias("optimal"), F.count_if(F.col("optimal").isNull()).alias("unjudged"), F.count_if(held).alias("standing"))
+
+
+_ENTRIES = "SELECT conv_id, turn % 2 AS line, turn, role FROM conversations"
+
+
+@query("first_matches", f"""
+    WITH comments AS ({_ENTRIES}), first AS (SELECT conv_id, line, min(turn) AS turn, arg_min(role, turn) AS role, count(*) AS many FROM comments GROUP BY ALL), entries AS (SELECT DISTINCT conv_id, unnest([0, 1, 2]) AS line FROM conversations)
+    SELECT conv_id, line, turn, role, many > 1 AS several, CASE WHEN turn IS NULL THEN 'entry without a comment: ' || conv_id || ', ' || line END AS refused FROM entries LEFT JOIN first USING (conv_id, line)
+""")
+def first_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries that meet the first of several comments at their place, the only one, or none."""
+    comments = table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") % 2).cast("int").alias("line"), "turn", "role")
+    entries = comments.select("conv_id").distinct().select("conv_id", F.explode(F.array(*map(F.lit, range(3)))).alias("line"))
+    many = comments.groupBy("conv_id", "line").agg((F.count("*") > 1).alias("several"))
+    return matched(entries, comments, ["conv_id", "line"], ["turn"], what="entry without a comment", refuse=False).join(many, ["conv_id", "line"], "left")
 
 
 @query("scored_run", f"WITH {_SCORED_SQL} SELECT arm, count(*) AS rows, count(*) FILTER (clean) AS clean, count(*) FILTER (clean AND effective) AS effective, count(*) FILTER (clean AND effective AND invasive) AS invasive, round(avg(clean::INT), 6) AS rate FROM scored GROUP BY arm")
