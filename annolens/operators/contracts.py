@@ -213,14 +213,17 @@ def repeated(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def call_reasons(events: DataFrame, call: str, event: str, item: str) -> DataFrame:
-    """(call, reason) of each recorded call: one thread, a completed turn, no failure, nothing but messages and reasoning. null: sound."""
+# Items that a call may hold, and the reasons why it does not count.
+ALLOWED_ITEMS = ("agent_message", "reasoning")
+NO_TURN, FAILED, TOOL = "no unique thread or completed turn", "failed turn", "tool use"
+
+
+def call_reasons(events: DataFrame, call: str, event: str, item: str, order: str) -> DataFrame:
+    """(call, reason) of each recorded call: one thread and a completed turn, or else what its first event in `order` says that is a failure or holds anything but messages and reasoning. null: sound."""
     e, i = F.col(event), F.col(item)
-    seen = events.groupBy(call).agg(
-        F.count_if(e == "thread.started").alias("threads"), F.count_if(e == "turn.completed").alias("turns"), F.count_if(e.isin("error", "turn.failed")).alias("failures"), F.min(F.when(i.isNotNull() & ~i.isin("agent_message", "reasoning"), i)).alias("tool")
-    )
-    checks: list[Check] = [("no unique thread or completed turn", "threads <> 1 or turns = 0"), ("failed turn", "failures > 0"), ("tool use", "tool is not null")]
-    return seen.select(call, first_reason(checks, None).alias("reason"))
+    problem = F.when(e.isin("error", "turn.failed"), FAILED).when(i.isNotNull() & (i != "") & ~i.isin(*ALLOWED_ITEMS), TOOL)
+    seen = events.groupBy(call).agg(F.count_if(e == "thread.started").alias("threads"), F.count_if(e == "turn.completed").alias("turns"), F.min_by(problem, F.when(problem.isNotNull(), F.col(order))).alias("problem"))
+    return seen.select(call, F.when((F.col("threads") != 1) | (F.col("turns") == 0), NO_TURN).otherwise(F.col("problem")).alias("reason"))
 
 
 def manifest_mismatch(saved: str, expected: str, mutable: tuple[str, ...] = MUTABLE) -> Column:

@@ -140,11 +140,11 @@ _ITEM = "CASE WHEN turn % 4 <> 1 THEN NULL WHEN conv_id % 5 = 2 THEN 'command' E
 
 
 @query("call_logs", f"""
-    SELECT conv_id, CASE WHEN count(*) FILTER (e = 'thread.started') <> 1 OR count(*) FILTER (e = 'turn.completed') = 0 THEN 'no unique thread or completed turn' WHEN count(*) FILTER (e IN ('error', 'turn.failed')) > 0 THEN 'failed turn'
-        WHEN count(*) FILTER (i NOT IN ('agent_message', 'reasoning')) > 0 THEN 'tool use' END AS reason FROM (SELECT conv_id, {_EVENT} AS e, {_ITEM} AS i FROM conversations) GROUP BY conv_id
+    SELECT conv_id, CASE WHEN count(*) FILTER (e = 'thread.started') <> 1 OR count(*) FILTER (e = 'turn.completed') = 0 THEN 'no unique thread or completed turn'
+        ELSE arg_min(CASE WHEN e IN ('error', 'turn.failed') THEN 'failed turn' ELSE 'tool use' END, turn) FILTER (e IN ('error', 'turn.failed') OR i NOT IN ('agent_message', 'reasoning')) END AS reason FROM (SELECT conv_id, turn, {_EVENT} AS e, {_ITEM} AS i FROM conversations) GROUP BY conv_id
 """)
 def call_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.call_reasons(_built(spark, sf_dir, "conversations", event=_EVENT, item=_ITEM), "conv_id", "event", "item")
+    return C.call_reasons(_built(spark, sf_dir, "conversations", event=_EVENT, item=_ITEM), "conv_id", "event", "item", "turn")
 
 
 @query("resumable_manifests", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'corpus' WHEN o_orderkey % 5 = 0 THEN 'seed' END AS mismatch FROM orders")
