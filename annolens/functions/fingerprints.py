@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 LEAF_BITS, NODE_BITS = 12, 6
 # What stands between the values of a row, and for a null.
 BETWEEN, NULL = "\x1f", "\x00"
-_SEPARATED = r'((?:[^",:]|"[^"\\]*+(?:\\.[^"\\]*+)*+")*+[,:])'
+# Each match goes on where the one before ended, so that none begins inside a string.
+_SEPARATED = r'\G((?:[^",:]|"[^"\\]*+(?:\\.[^"\\]*+)*+")*+[,:])'
 
 
 def canonical_json(document: Column) -> Column:

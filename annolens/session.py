@@ -61,17 +61,22 @@ def ship(spark: SparkSession) -> None:
     context._annolens_shipped = True
 
 
-def pinned(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that spark.checkpoint.dir names (a local session's own if unset): later steps read it instead of recomputing it."""
-    spark = df.sparkSession
+def shared_root(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a local session has one of its own if that is unset, a cluster is refused."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         context = spark.sparkContext
-        if not context.master.startswith("local["):
+        if not context.master.startswith("local[") and context.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = getattr(context, "_annolens_pinned", None)
         if not root:
             root = context._annolens_pinned = tempfile.mkdtemp(prefix="annolens-pinned-")
-    path = f"{root.rstrip('/')}/annolens/pinned-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: later steps read it instead of recomputing it."""
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/annolens/pinned-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
