@@ -15,6 +15,8 @@ EXAMPLE = r"\be\.g\.|\b(examples?|for instance|such as)\b"
 RATIONALE = r"\b(because|otherwise|so that|in order to|avoid|prevent|ensure|reason|necessary|required|cannot|must)\b"
 GENERATED = r"generated (file|code)|do not edit"
 LENGTH_BANDS = {"short": (20, 49), "medium": (50, 99), "long": (100, 300)}
+# Everything that counts as white space in Unicode, and the four separators of ASCII.
+SPACE = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 LONG_WORD = 9
 ALPHA_RATIO = 0.45
 
@@ -120,7 +122,7 @@ def eligible(text: Column) -> Column:
 
 def normalise(text: Column) -> Column:
     """White space runs as one space, none at the ends."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
 
 
 def hash_bucket(text: Column, buckets: int = 100) -> Column:

@@ -2,7 +2,8 @@
 
 Answers hold a list of objects. Each object is checked alone, the first bad one tells its reason, and a row's
 checks come before those of its objects. Everything is an expression of the row, so answers of any number spread as they are
-read; a rejected row keeps its raw answer beside the reason.
+read; a rejected row keeps its raw answer beside the reason. An answer is one JSON value and nothing but white space around it; an
+object that repeats a key is no JSON here.
 """
 
 from __future__ import annotations
@@ -13,12 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annolens.functions.text import normalise
-from annolens.operators.validate import DIMENSIONS, Check, exact_keys, first_reason, quoted_in
+from annolens.operators.validate import DIMENSIONS, Check, exact_keys, first_reason, quoted_in, whole_json
 
 # What a review judges, and of which kinds of artifact.
 CRITERIA = ("clean", "effective", "invasive", "optimal")
 APPLIES = {"comment": CRITERIA, "text": ("invasive", "optimal"), "code": ("invasive", "optimal")}
 ARTIFACT = ("id", "kind", "path", "before", "after", "context")
+EVIDENCE = ("artifact_id", "source", "quote")
 DEFICITS = ("redundancy", "consistency", "proportion")
 # The fields of a rule of the guide, what a rule may be about, and how its links may begin.
 RULE = ("id", "dimension", "guidance", "before", "after", "exceptions", "signals", "evidence", "example_origin")
@@ -73,8 +75,9 @@ def _list_checks(answer: str, key: str, label: str, wanted: Column, item_checks)
     raw = F.col(answer)
     rows = items(raw, key)
     told = F.array_sort(F.transform(rows, lambda r: F.coalesce(at(r, label), F.lit(""))))
-    malformed = raw.isNull() | ~F.coalesce(exact_keys(raw, [key]), F.lit(False)) | F.try_parse_json(raw).isNull() | ~F.startswith(kind(raw, key), F.lit("ARRAY"))
-    checks: list[Check] = [("malformed", malformed), (f"not each {label} once", ~F.coalesce(told == F.array_sort(wanted), F.lit(False)))]
+    malformed = ~whole_json(raw) | ~F.coalesce(exact_keys(raw, [key]), F.lit(False)) | ~F.startswith(kind(raw, key), F.lit("ARRAY"))
+    named = F.forall(rows, lambda r: kind(r, label) == "STRING")
+    checks: list[Check] = [("malformed", malformed), (f"not each {label} once", ~F.coalesce(named & (told == F.array_sort(wanted)), F.lit(False)))]
     return F.coalesce(first_reason(checks, None), first_of(rows, item_checks))
 
 
@@ -124,7 +127,7 @@ def change_reason(change: str) -> Column:
         ]
 
     checks: list[Check] = [
-        ("malformed", raw.isNull() | F.try_parse_json(raw).isNull() | ~F.coalesce(exact_keys(raw, ["task", "artifacts"]), F.lit(False))),
+        ("malformed", ~whole_json(raw) | ~F.coalesce(exact_keys(raw, ["task", "artifacts"]), F.lit(False))),
         ("no task", blank(raw, "task")),
         ("no artifacts", ~F.startswith(kind(raw, "artifacts"), F.lit("ARRAY")) | (F.size(rows) < 1)),
     ]
@@ -157,7 +160,7 @@ def review_reason(answer: str, change: str) -> Column:
             ("no explanation", applies & blank(g, "explanation")),
             ("evidence is no list", applies & ~F.startswith(kind(g, "evidence"), F.lit("ARRAY"))),
             ("noticeable deficit without evidence", applies & noticed & (F.size(quotes) == 0)),
-            ("malformed evidence", applies & F.exists(quotes, lambda e: ~exact_keys(e, ["artifact_id", "source", "quote"]))),
+            ("malformed evidence", applies & F.exists(quotes, lambda e: ~exact_keys(e, list(EVIDENCE)) | any_of([kind(e, f) != "STRING" for f in EVIDENCE]))),
             ("evidence is no quote", applies & F.exists(quotes, lambda e: evidence(change, e))),
         ]
 
@@ -195,7 +198,7 @@ def rule_reason(rule: str) -> Column:
     r = F.col(rule)
     return first_reason(
         [
-            ("missing or extra fields", r.isNull() | F.try_parse_json(r).isNull() | ~F.coalesce(exact_keys(r, list(RULE)), F.lit(False))),
+            ("missing or extra fields", ~whole_json(r) | ~F.coalesce(exact_keys(r, list(RULE)), F.lit(False))),
             ("id is no slug", ~F.coalesce(at(r, "id").rlike(r"^[a-z][a-z0-9-]*\z"), F.lit(False))),
             ("unknown dimension", ~F.coalesce(at(r, "dimension").isin(*RULE_DIMENSIONS), F.lit(False))),
             ("blank text", any_of([blank(r, f) for f in ("guidance", "before", "after")])),

@@ -37,6 +37,17 @@ LABEL_CHECKS: list[Check] = [
 ]
 
 
+def whole_json(text: Column) -> Column:
+    """Whether a text is one JSON value with nothing behind it. False for null.
+
+    A parser that stops after the first value would overlook the rest, so the text is parsed as the only element of a list and as the only field of an object: what could close or go on
+    in the one breaks the other.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    alone = listed.isNotNull() & F.try_variant_get(listed, "$[0]", "variant").isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
+    return F.coalesce(alone & F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull(), F.lit(False))
+
+
 def exact_keys(answer: Column, keys: list[str]) -> Column:
     """Whether a JSON object has these keys and no others."""
     return F.coalesce(F.array_sort(F.json_object_keys(answer)) == F.array(*map(F.lit, sorted(keys))), F.lit(False))
@@ -54,7 +65,7 @@ DIMENSIONS = ("style", "words", "structure", "simplicity", "meaning", "usefulnes
 def grade_checks(answer: str, labels: list[str], dimensions: tuple[str, ...] = DIMENSIONS) -> list[Check]:
     """Checks of a grading answer, a JSON object label -> {dimension: 0..4 whole number}, in VARIANT so that booleans and fractions are no numbers."""
     raw = F.col(answer)
-    checks: list[Check] = [("answer is not JSON", raw.isNull() | F.try_parse_json(raw).isNull()), ("labels differ from those asked for", ~exact_keys(raw, labels))]
+    checks: list[Check] = [("answer is not JSON", ~whole_json(raw)), ("labels differ from those asked for", ~exact_keys(raw, labels))]
     bad = []
     for label in labels:
         for d in dimensions:

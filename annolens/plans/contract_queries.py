@@ -46,6 +46,30 @@ def judge_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(spark, sf_dir).select("doc_id", "reason")
 
 
+_OBJECT = """'{"label":"{label}","style":' || {style} || ',"words":1,"structure":0,"simplicity":2,"meaning":0,"usefulness":3,"evidence":["' || {quote} || '"],"explanation":"' || {why} || '","missing_facts":[],"unsupported_claims":[]}'"""
+
+
+def _object(label: str, k: str) -> str:
+    """One of an answer's objects: sound, of a bad grade, without an explanation, or with a quote that is nowhere, by the id."""
+    parts = {"label": label, "style": f"CASE {k} % 4 WHEN 1 THEN '5' ELSE '2' END", "quote": f"CASE {k} % 4 WHEN 3 THEN 'no such words' ELSE 'some' || chr(160) || 'words' END", "why": f"CASE {k} % 4 WHEN 2 THEN chr(160) || chr(8195) ELSE 'because' END"}
+    text = _OBJECT
+    for name, sql in parts.items():
+        text = text.replace("{" + name + "}", sql)
+    return text
+
+
+_PAIR = f"""'{{"grades":[' || CASE WHEN doc_id % 7 = 3 THEN {_object('A', 'doc_id')} ELSE {_object('B', 'doc_id')} END || ',' || {_object('A', 'CAST(floor(doc_id / 4) AS INT)')} || ']}}' || CASE doc_id % 11 WHEN 1 THEN ' junk' WHEN 2 THEN '}}' WHEN 3 THEN ' ' || chr(10) WHEN 4 THEN ',{{}}' ELSE '' END"""
+_FAULT = "CASE {k} % 4 WHEN 1 THEN 'invalid grade' WHEN 2 THEN 'no explanation' WHEN 3 THEN 'evidence is not in the text' END"
+
+
+@query("judge_pairs", f"SELECT doc_id, CASE WHEN doc_id % 11 IN (1, 2, 4) THEN 'malformed' WHEN doc_id % 7 = 3 THEN 'not each label once' ELSE coalesce({_FAULT.format(k='doc_id')}, {_FAULT.format(k='(doc_id // 4)')}) END AS reason FROM labels")
+def judge_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of two objects: the first bad one tells its reason; text behind the answer, and white space of all kinds."""
+    texts = F.create_map(F.lit("A"), F.col("words"), F.lit("B"), F.col("words"))
+    rows = _built(spark, sf_dir, "labels", answer=_PAIR.replace("chr(160)", "decode(unhex('C2A0'), 'UTF-8')").replace("chr(8195)", "decode(unhex('E28083'), 'UTF-8')"), words=_TEXT)
+    return rows.withColumn("texts", texts).select("doc_id", C.judge_reason("answer", "texts").alias("reason"))
+
+
 @query("recovered_judgments", f"WITH {_JUDGE_SQL} SELECT doc_id % 10 AS id, count(*) FILTER (reason IS NULL) AS valid_judgments, count(*) FILTER (reason IS NOT NULL) AS invalid_judgments, round(avg(CASE WHEN reason IS NULL THEN CAST(json_extract_string(g, '$.meaning') AS INT) END), 6) AS meaning FROM reasons GROUP BY ALL")
 def recovered_judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Preserved answers validated again: those that hold now count, the others stay counted as invalid."""
