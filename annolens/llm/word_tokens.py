@@ -5,7 +5,7 @@ one, so texts in Latin-1 are split into the library's words here, each distinct
 ranks read from the tokenizer file's merges; a byte that UTF-8 never uses stands for the end of a word) and kept in a bounded
 memory. All other texts go chunk by chunk, those that Latin-1 cannot write through the library itself, as do texts with
 the control characters that only Python counts as space. The driver encodes a sample of the vocabulary both ways,
-and if any id differs everything goes through the library.
+and if any id differs everything goes through the library. A special token that a text spells out is that token, as in the library.
 """
 
 from __future__ import annotations
@@ -68,6 +68,9 @@ class WordTokenizer:
             spec = json.load(file)
         self.memory = _Memory(self._merged, kept)
         self._load_ranks(spec["model"])
+        # Added tokens stand for themselves wherever a text spells them out, and cut the text before anything else is done to it.
+        self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in spec["added_tokens"]}
+        self.cuts = re.compile(f"({'|'.join(map(re.escape, sorted(self.added, key=len, reverse=True)))})" if self.added else "(?!)")
         self.exact = self._agrees(spec["model"]["vocab"]) if exact is None else exact
 
     @cached_property
@@ -75,9 +78,7 @@ class WordTokenizer:
         """The tokenizers library's own object, which few texts need."""
         from tokenizers import Tokenizer
 
-        loaded = Tokenizer.from_file(self.path)
-        loaded.encode_special_tokens = True
-        return loaded
+        return Tokenizer.from_file(self.path)
 
     def _agrees(self, vocabulary: dict[str, int]) -> bool:
         words = [w[:-4] for w in vocabulary if w.endswith("</w>")]
@@ -116,6 +117,11 @@ class WordTokenizer:
         return b"".join(map(self.memory.__getitem__, _WORDS.findall(text.lower())))
 
     def encode(self, text: str) -> bytes:
+        if self.cuts.search(text):
+            return b"".join([self.added.get(x) or self._between(x) for x in self.cuts.split(text) if x])
+        return self._between(text)
+
+    def _between(self, text: str) -> bytes:
         if not self.exact or _ODD_SPACE.search(text):
             return self._by_library(text)
         if _is_latin(text):

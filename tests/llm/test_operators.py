@@ -14,6 +14,7 @@ import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from annolens.llm import byte_bpe, embedding_dedup, language_id, license_scan, near_copies, packing, pii, simhash, token_files, toxicity
 from annolens.llm.base import is_crc_bucket
@@ -356,12 +357,13 @@ def test_language_odd_rows(odd):
 
 
 def test_word_ids_are_the_librarys(texts):
-    encoder = WordTokenizer(WORD)
+    encoder, library = WordTokenizer(WORD), Tokenizer.from_file(WORD)
     assert encoder.exact
     random.seed(2)
     parts = [*"abzAZ019 \n\t'.-_<|>", "'s", "'re", "'LL", "\x1d", "\x85", "\xa0", "é", "É", "ß", "ª", "²", "½", "µ", "İ", "日", "е", "́", "ſ", "K", "<|endoftext|>", "Σ", "ΑΣ", "\x00", "𝒳", "Ÿ"]
     for text in ["".join(random.choices(parts, k=random.randint(0, 12))) for _ in range(3000)] + list(texts.values()):
-        assert encoder.encode(text) == encoder._by_library(text)
+        assert encoder.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert np.frombuffer(encoder.encode("a <|endoftext|> b"), "<u4").tolist() == [320, 49407, 321]
 
 
 def check_pieces(rows, ids):
