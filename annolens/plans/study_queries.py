@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from annolens.functions import text as T
 from annolens.operators import ladder as L
 from annolens.operators.paired import advisory_screen, arm_deltas, exclude_pairs, inter_rater, outcome_counts
-from annolens.operators.sampling import hash_bootstrap
+from annolens.operators.sampling import POISSON, hash_bootstrap, poisson_bootstrap
 from annolens.operators.stats import agreement, correlation, micro_jaccard
 from annolens.operators.validate import LABEL_CHECKS, first_reason
 from annolens.plans.registry import query
@@ -68,6 +68,20 @@ def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(*[F.round(c, 9).alias(c) for c in got.columns])
 
 
+_TIMES = " + ".join(f"(u >= {p!r}::DOUBLE)::INT" for p in POISSON)
+
+
+@query("poisson_interval", f"""
+    WITH each AS (SELECT b, l_quantity AS v, ('0x' || substr(sha256('{SEED}:' || b // 8 || ':' || l_orderkey || '-' || l_linenumber), b % 8 * 8 + 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM lineitem, range(40) x(b)),
+         means AS (SELECT list(m ORDER BY m) AS m FROM (SELECT b, sum(v * ({_TIMES})) / sum({_TIMES}) AS m FROM each GROUP BY b))
+    SELECT round((SELECT avg(l_quantity) FROM lineitem), 6) AS mean, round(m[{int(40 * 0.025) + 1}], 6) AS low, round(m[{int(40 * 0.975) + 1}], 6) AS high FROM means
+""")
+def poisson_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_quantity", F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("k"))
+    got = poisson_bootstrap(rows, "l_quantity", "k", 40, SEED)
+    return got.select(*[F.round(c, 6).alias(c) for c in got.columns])
+
+
 @query("screen", f"WITH {_ARMS_SQL} SELECT NOT bool_or(delta >= 60) AND avg(delta) <= 0 AS passes FROM deltas")
 def screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return advisory_screen(_deltas(spark, sf_dir), "delta", severe=60)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from annolens.functions import text as T
 from annolens.operators.distance import js_divergence
+from annolens.operators.leaks import leaks
 from annolens.operators.sampling import band_targets, capped_prefix, nested_take, stratified_quota
 from annolens.plans.registry import query
 from annolens.session import spread, table
@@ -46,9 +47,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def profiled(docs: DataFrame) -> DataFrame:
-    """docs with the thirteen measures; words and sentences are computed once a row."""
-    staged = docs.withColumns({"_w": T.words(F.col("text")), "_s": T.sentences(F.col("text"))})
-    return staged.select(*docs.columns, *T.measures(F.col("_w"), F.col("text"), F.col("_s")))
+    """docs with the thirteen measures; words, sentences and paragraphs are computed once a row."""
+    staged = docs.withColumns({"_w": T.words(F.col("text")), "_s": T.sentence_lengths(F.col("text")), "_p": F.size(T.paragraphs(F.col("text")))})
+    return staged.select(*docs.columns, *T.measures(F.col("_w"), F.col("text"), F.col("_s"), F.col("_p")))
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -261,41 +262,11 @@ def mean_distance_by_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy("band").agg(F.count("*").alias("pairs"), F.round(F.avg("js"), 9).alias("mean_js"))
 
 
-#: Long lines of one or two words that a leak check can take: each is looked for in every text.
-FEW_LINES = 1000
-
-
 @query("leak_check", r"""
     WITH lines AS (SELECT DISTINCT item_id, trim(regexp_replace(l, '\s+', ' ', 'g')) AS line FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS l FROM benchmark) WHERE length(trim(l)) > 30),
          docs AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS body FROM documents)
     SELECT doc_id, item_id, count(*) AS lines FROM docs JOIN lines ON contains(body, line) GROUP BY ALL
 """)
 def leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that contain a whole long line of a benchmark item.
-
-    Candidates come from an equi-join on the five-word window at the line's start, so that documents are
-    never compared with lines they share nothing with; `contains` then decides. A line's first and last words may be cut inside a
-    document's words, so its window is taken from its second word; lines too short for one meet by their longest inner word.
-    """
-    norm = T.normalise(F.col("l"))
-    lines = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.split("text", "\n")).alias("l")).where(F.length(F.trim("l")) > 30).select("item_id", norm.alias("line")).distinct()
-    lines = lines.withColumn("w", F.split("line", " "))
-    docs = documents(spark, sf_dir).select("doc_id", T.normalise(F.col("text")).alias("body"))
-    keyed = lines.where(F.size("w") >= 7).select("item_id", "line", F.xxhash64(F.array_join(F.slice("w", 2, 5), " ")).alias("key"))
-    window = F.transform(F.sequence(F.lit(0), F.size("w") - 5), lambda k: F.xxhash64(F.array_join(F.slice(F.col("w"), k + 1, 5), " ")))
-    places = docs.withColumn("w", F.split("body", " ")).where(F.size("w") >= 5).select("doc_id", F.explode(F.array_distinct(window)).alias("key"))
-    met = places.join(keyed, "key").select("doc_id", "item_id", "line").distinct()
-    long_hits = met.join(docs, "doc_id").where(F.contains("body", F.col("line"))).select("doc_id", "item_id", "line")
-    # A shorter line of three words or more has a whole word inside, the longest of which is its key. What has none is a few lines, counted.
-    inner = F.slice("w", 2, F.greatest(F.lit(0), F.size("w") - 2))
-    rest = lines.where(F.size("w") < 7).select("item_id", "line", F.get(F.array_sort(inner, lambda a, b: F.length(b) - F.length(a)), 0).alias("key"))
-    worded = docs.select("doc_id", F.explode(F.array_distinct(F.split("body", " "))).alias("key"))
-    short_met = worded.join(rest.where("key is not null"), "key").select("doc_id", "item_id", "line").distinct()
-    short_hits = short_met.join(docs, "doc_id").where(F.contains("body", F.col("line"))).select("doc_id", "item_id", "line")
-    bare = rest.where("key is null").select("item_id", "line").limit(FEW_LINES + 1).collect()
-    if len(bare) > FEW_LINES:
-        raise ValueError(f"more than {FEW_LINES} lines of one or two words")
-    if bare:
-        pairs = F.explode(F.filter(F.array(*[F.struct(F.lit(r["item_id"]).alias("item_id"), F.lit(r["line"]).alias("line")) for r in bare]), lambda x: F.contains(F.col("body"), x["line"]))).alias("x")
-        short_hits = short_hits.unionByName(docs.select("doc_id", pairs).select("doc_id", "x.*"))
-    return long_hits.unionByName(short_hits).groupBy("doc_id", "item_id").agg(F.count("*").alias("lines"))
+    """Documents that contain a whole long line of a benchmark item."""
+    return leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))

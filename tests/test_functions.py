@@ -14,8 +14,8 @@ from annolens.operators.validate import decision_checks, exact_keys, first_reaso
 
 def test_measures_of_small_texts(spark):
     rows = spark.createDataFrame([("One two. Three; four (five)!\n\nSix-pack don't",), ("",), ("   ",)], "text string")
-    staged = rows.withColumns({"w": T.words(F.col("text")), "s": T.sentences(F.col("text"))})
-    got = [r.asDict() for r in staged.select(*T.measures(F.col("w"), F.col("text"), F.col("s"))).collect()]
+    staged = rows.withColumns({"w": T.words(F.col("text")), "s": T.sentence_lengths(F.col("text")), "p": F.size(T.paragraphs(F.col("text")))})
+    got = [r.asDict() for r in staged.select(*T.measures(F.col("w"), F.col("text"), F.col("s"), F.col("p"))).collect()]
     assert got[0]["word_count"] == 7 and got[0]["sentence_count"] == 3 and got[0]["paragraph_count"] == 2
     assert got[0]["hyphenated_words"] == 1 and got[0]["semicolons"] == 1 and got[0]["parentheses"] == 1 and got[0]["max_sentence_words"] == 3
     assert all(v == 0 for r in got[1:] for v in r.values())
