@@ -34,7 +34,7 @@ SCALE = 2_000_000
 PARTS = 64
 LEAST_SLOTS, MOST_SLOTS = 1 << 20, 1 << 28
 #: Words of texts that are counted at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list[str], list[bytes], np.ndarray]]:

@@ -13,7 +13,7 @@ import numpy as np
 
 #: Lengths with a table of their own; longer words go bit by bit of their length.
 TABLES = 64
-KEPT_WORDS = 1 << 20
+KEPT_WORDS = 1 << 19
 
 
 def _bytes_table() -> np.ndarray:
