@@ -71,6 +71,8 @@ class WordTokenizer:
         # Added tokens stand for themselves wherever a text spells them out, and cut the text before anything else is done to it.
         self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in spec["added_tokens"]}
         self.cuts = re.compile(f"({'|'.join(map(re.escape, sorted(self.added, key=len, reverse=True)))})" if self.added else "(?!)")
+        #: One more than the largest id.
+        self.size = 1 + max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])
         self.exact = self._agrees(spec["model"]["vocab"]) if exact is None else exact
 
     @cached_property

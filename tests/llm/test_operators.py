@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -389,9 +390,71 @@ def test_packing(documents, texts, odd):
     assert packing.pack(odd.limit(0), WORD).count() == 0
 
 
+def test_packing_knows_all_documents(spark, documents, texts):
+    encoder = WordTokenizer(WORD)
+    ids = [np.frombuffer(encoder._by_library(t or "") + b"\x02\0\0\0", "<u4") for t in texts.values()]
+    encoded, corpus, small = packing._encoded(documents.repartition(7), WORD, "doc_id", "text", 2)
+    wanted = packing.Corpus.of(ids, encoder.size)
+    assert small == "<u2" and corpus.holders.tolist() == wanted.holders.tolist() and (corpus.docs, corpus.mean) == (wanted.docs, wanted.mean)
+    assert encoded.count() == encoded.select("at").distinct().count() == len(ids)
+
+
+def slow_bm25(docs, seed, holders, mean):
+    """Scores of all documents for a seed's terms, term by term."""
+    scores = []
+    for other in docs:
+        total = 0.0
+        for term in set(docs[seed]):
+            rarity = max(0.0, math.log((len(docs) - holders[term] + 0.5) / (holders[term] + 0.5)))
+            n = other.count(term)
+            total += rarity * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(other) / mean))
+        scores.append(total)
+    return scores
+
+
+def test_index_scores_are_bm25():
+    random.seed(4)
+    docs = [[random.randrange(60) for _ in range(random.randint(1, 12))] for _ in range(40)]
+    arrays = [np.array(d, "<u4") for d in docs]
+    corpus = packing.Corpus.of(arrays, 60)
+    holders = Counter(t for d in docs for t in set(d))
+    mean = sum(map(len, docs)) / len(docs)
+    # a shard's index scores by the whole corpus, whatever the shard holds
+    index = packing.Index(arrays[:25], corpus)
+    for seed in range(25):
+        assert np.allclose(index.scores(seed), slow_bm25(docs, seed, holders, mean)[:25], atol=1e-4)
+
+
+def test_related_documents_meet_from_all_splits(spark):
+    """Documents of a topic lie far apart in the input and share windows; half of all rows are one text."""
+    topics = ["zebra giraffe", "violin cello", "carbon neon", "paris london"]
+    rows = [(k, f"{topics[k % 4]} " + "common words here " * 100) for k in range(160)] + [(1000 + k, "copies of one text " * 60) for k in range(160)]
+    docs = docs_of(spark, rows).repartition(8, "doc_id")
+    got = packing.pack(docs, WORD).collect()
+    check_pieces(got, None)
+    assert sum(r.length for r in got) == sum({r.doc_id: r.doc_tokens for r in got}.values())
+    mates = Counter()
+    for _, group in itertools.groupby(sorted(got, key=lambda r: (r.sequence_id, r.offset)), key=lambda r: r.sequence_id):
+        kinds = Counter(r.doc_id % 4 for r in group if r.doc_id < 1000)
+        mates["own"] += sum(n * (n - 1) for n in kinds.values())
+        mates["all"] += sum(kinds.values()) * (sum(kinds.values()) - 1)
+    # at random a quarter of a window's pairs would be of one topic
+    assert mates["own"] > 0.8 * mates["all"] > 0
+
+
+def test_hot_terms_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(packing, "LEAST_TOKENS", 100)
+    docs = docs_of(spark, [(k, "copies of one text") for k in range(600)]).repartition(3)
+    encoded, corpus, small = packing._encoded(docs, WORD, "doc_id", "text", 2)
+    dealt = packing.gathered(encoded, corpus, small, salt_docs=16).withColumn("task", F.spark_partition_id())
+    assert dealt.count() == 600
+    sizes = [r["count"] for r in dealt.groupBy("task").count().collect()]
+    assert len(sizes) > 1 and max(sizes) < 450
+
+
 def test_neighbours_share_windows():
     shared = [np.array([k] * 3 + [k + 100] * 3, "<u4") for k in (1, 2, 3, 1, 2, 3)]
-    packer = packing.Packer(0, window=12)
+    packer = packing.Packer(0, packing.Corpus.of(shared, 200), window=12)
     packer.shard(list(enumerate(shared)))
     packer.finish()
     together = Counter()
