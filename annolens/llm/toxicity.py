@@ -4,8 +4,9 @@ Words are what an expression is made of; a class's model gives each character of
 ORDER - 1 characters before it, by absolute discounting of that class's counts. The mass that discounting sets free goes
 to a backoff distribution that both classes share: Kneser-Ney continuation counts of the shorter contexts, pooled over
 the classes. So a rare expression is smoothed alike in both and says little, and an expression that only toxic
-texts use stands out, in any language and with unseen endings. A word's evidence is the difference of its log-likelihoods a
-character; a text's score is a logistic function of its strongest word and of the mean over all its words.
+texts use stands out, in any language and with unseen endings. Evidence is the difference of the log-likelihoods under the two
+models a character, of a word or of a whole text. A text's score is a logistic function of its own, of its strongest word's, in which a
+single expression in a long text is not lost, and of the mean over its distinct words.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ DISCOUNT = 0.75
 SAMPLE_DOCS = 8000
 #: Score from which a document is predicted toxic.
 THRESHOLD = 0.7
+FEATURES = ["top", "mean", "whole"]
 #: Words whose evidence a worker keeps at hand.
 KEPT_WORDS = 100_000
 
@@ -81,28 +83,21 @@ class _Shared:
     """Interpolated continuation probabilities, pooled over both classes: how many different characters precede a gram."""
 
     def __init__(self, counts: dict[str, tuple[int, int]], discount: float):
-        self.discount, level = discount, set(counts)
-        self.tables: dict[int, tuple[Counter, Counter, Counter]] = {}
-        while level:
-            below = {g[1:] for g in level if len(g) > 1}
-            before = Counter(g[1:] for g in level if len(g) > 1)
-            size = 0
-            for g, n in before.items():
-                size = max(size, len(g))
-                sums, kinds = self.tables.setdefault(len(g), (Counter(), Counter(), Counter()))[1:]
-                self.tables[len(g)][0][g] += n
-                sums[g[:-1]] += n
-                kinds[g[:-1]] += 1
-            level = below
-        self.characters = max(1, len({g[-1] for g in counts}))
-        self.memo: dict[str, float] = {"": 1.0 / self.characters}
+        self.discount = discount
+        # A gram can be the end of several longer ones, of any length, and is one gram all the same.
+        every = {g[k:] for g in counts for k in range(len(g) - 1)}
+        self.found = Counter(g[1:] for g in every)
+        self.sums, self.kinds = Counter(), Counter()
+        for g, n in self.found.items():
+            self.sums[g[:-1]] += n
+            self.kinds[g[:-1]] += 1
+        self.memo: dict[str, float] = {"": 1.0 / max(1, len({g[-1] for g in counts}))}
 
     def probability(self, gram: str) -> float:
         if gram not in self.memo:
-            found, sums, kinds = self.tables.get(len(gram), (Counter(), Counter(), Counter()))
-            total = sums[gram[:-1]]
-            below = self.probability(gram[1:])
-            self.memo[gram] = (max(0.0, found[gram] - self.discount) + self.discount * kinds[gram[:-1]] * below) / total if total else below
+            context, below = gram[:-1], self.probability(gram[1:])
+            total = self.sums.get(context, 0)
+            self.memo[gram] = (max(0.0, self.found.get(gram, 0) - self.discount) + self.discount * self.kinds[context] * below) / total if total else below
         return self.memo[gram]
 
 
@@ -119,20 +114,24 @@ class Scorer:
             total += context.get(gram[:-1], 0.0) if value is None else value
         return total / (len(word) - 1)
 
-    def features(self, text: bytes) -> tuple[float, float]:
-        """The strongest word's evidence and the mean over all distinct words; zeros where there are none."""
-        words, memory = words_of(text), self.memory
+    def features(self, text: bytes) -> tuple[float, float, float]:
+        """The strongest word's evidence, the mean over all distinct words, and the whole text's; zeros where there are no words."""
+        words, memory = Counter(words_of(text)), self.memory
         if not words:
-            return 0.0, 0.0
-        values = []
-        for raw in set(words):
-            value = memory.get(raw)
-            if value is None:
-                value = self.word(raw)
+            return 0.0, 0.0, 0.0
+        top, plain, total, size = -math.inf, 0.0, 0.0, 0
+        for raw, n in words.items():
+            found = memory.get(raw)
+            if found is None:
+                found = self.word(raw), len(padded(raw)) - 1
                 if len(memory) < self.kept:
-                    memory[raw] = value
-            values.append(value)
-        return max(values), sum(values) / len(values)
+                    memory[raw] = found
+            value, length = found
+            top = max(top, value)
+            plain += value
+            total += n * length * value
+            size += n * length
+        return top, plain / len(words), total / size
 
 
 def score_of(features: tuple[float, ...], weights: tuple[float, ...]) -> float:
@@ -193,12 +192,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, sample: int = SAMP
         scorer = Scorer(*shared.value)
         for batch in slices(batches):
             found = [scorer.features(x) for x in byte_texts(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array([f[k] for f in found], pa.float64()) for k in range(2))], ["toxic", "top", "mean"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array([f[k] for f in found], pa.float64()) for k in range(3))], ["toxic", *FEATURES])
 
-    seen = rows.where("half = 1").select("text", "toxic").mapInArrow(measure, "toxic int, top double, mean double").toPandas()
+    seen = rows.where("half = 1").select("text", "toxic").mapInArrow(measure, "toxic int, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas()
     shared.unpersist()
     y = seen["toxic"].to_numpy()
-    weights = logistic(seen[["top", "mean"]].to_numpy(), y) if len(set(y)) == 2 else (-2.0, 0.0, 0.0)
+    weights = logistic(seen[FEATURES].to_numpy(), y) if len(set(y)) == 2 else (-2.0, *[0.0] * len(FEATURES))
     known, context = kneser_ney({g: (a + c, b + d) for g, a, b, c, d in zip(every, n0, n1, n2, n3, strict=True)})
     return ToxicityModel(known, context, weights)
 

@@ -323,6 +323,48 @@ def test_license_scan_counts_like_a_search(spark, documents, texts):
         assert got[i].first_word == min((k for k, _ in places), default=None) and got[i].base_labels == ",".join(sorted({x for _, x in places}))
 
 
+def slow_kneser_ney(counts, gram, label=None):
+    """The probability of a gram's last character: of a class, or of both as what the shorter contexts say together."""
+    if not gram:
+        return 1 / len({g[-1] for g in counts})
+    if label is None:
+        # of how many grams, one character longer, each is the end
+        mine = {g: len({h[0] for h in every_level(counts) if h[1:] == g}) for g in {h[1:] for h in every_level(counts) if len(h) == len(gram) + 1}}
+    else:
+        mine = {g: c[label] for g, c in counts.items() if len(g) == len(gram)}
+    same = {g: n for g, n in mine.items() if g[:-1] == gram[:-1] and n}
+    below, total = slow_kneser_ney(counts, gram[1:]), sum(same.values())
+    return (max(0, same.get(gram, 0) - 0.75) + 0.75 * len(same) * below) / total if total else below
+
+
+def every_level(counts):
+    """The counted grams and all that dropping first characters makes of them."""
+    return {g[k:] for g in counts for k in range(len(g))}
+
+
+@pytest.mark.parametrize("order", [3, 5])
+def test_toxicity_models_are_kneser_ney(order):
+    random.seed(11)
+    counts = {}
+    for label, letters in ((0, "abc"), (1, "bcd")):
+        for _ in range(60):
+            for gram in toxicity.grams("^" + "".join(random.choices(letters, k=random.randint(1, 7))) + "$", order):
+                counts.setdefault(gram, [0, 0])[label] += 1
+    known, _ = toxicity.kneser_ney({g: tuple(c) for g, c in counts.items()})
+    for gram, got in known.items():
+        assert math.isclose(got, math.log(slow_kneser_ney(counts, gram, 1) / slow_kneser_ney(counts, gram, 0)), abs_tol=1e-9), gram
+
+
+def test_text_evidence_is_its_likelihoods_by_length():
+    known = {"^a": 1.0, "^ab": -0.5, "^ab$": 2.0, "^a$": 0.25}
+    scorer = toxicity.Scorer(known, {"^": 3.0})
+    # "ab" twice, "a" once: 3 and 2 characters with the end
+    ab, a = 1.0 - 0.5 + 2.0, 1.0 + 0.25
+    top, mean, whole = scorer.features(b"AB a, ab")
+    assert math.isclose(top, max(ab / 3, a / 2)) and math.isclose(mean, (ab / 3 + a / 2) / 2) and math.isclose(whole, (2 * ab + a) / 8)
+    assert scorer.features(b"") == scorer.features(b" .") == (0.0, 0.0, 0.0)
+
+
 def test_toxicity_on_held_out_labels(spark):
     folder = DATA.replace("0.001", "0.1")
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
