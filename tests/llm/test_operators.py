@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -552,6 +553,35 @@ def test_embeddings_match_all_pairs(spark, block):
     assert np.mean([got[k].component_id == root[k] for k in got]) > 0.95
 
 
+def near_copies_of_one(count):
+    random_ = np.random.default_rng(8)
+    return embedding_dedup.unit(random_.standard_normal(64) + 0.1 * random_.standard_normal((count, 64)))
+
+
+@pytest.mark.parametrize("table", [0, 20])
+def test_a_dense_group_is_compared_in_bounded_memory(table):
+    vectors = near_copies_of_one(2500)
+    code, factor = embedding_dedup.code_of(vectors)
+    keys = np.repeat(np.arange(2500)[:, None], table, axis=1).astype(np.int32)
+    rows = {"side": np.zeros(2500, np.int32), "table": table, "embedding": vectors, "code": code, "factor": factor, "n": np.ones(2500, np.int64), "rep": np.arange(2500), "keys": keys}
+    tracemalloc.start()
+    ids, count, root = embedding_dedup._compare(rows, 0.9)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250e6
+    assert ids.tolist() == list(range(2500)) and set(count.tolist()) == {2499} and set(root.tolist()) == {0}
+
+
+@pytest.mark.parametrize(("block", "rounds"), [(64, 1 << 20), (64, 1)])
+def test_embeddings_of_many_tables_are_counted_once(spark, monkeypatch, block, rounds):
+    monkeypatch.setattr(embedding_dedup, "BUCKET", 8)
+    monkeypatch.setattr(embedding_dedup, "ROUND", rounds)
+    vectors = np.vstack([near_copies_of_one(150), np.random.default_rng(9).standard_normal((200, 64))])
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors.astype(np.float32))], "vec_id long, embedding array<float>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.embedding_dedup(rows, block=block).collect()}
+    assert got == {k: (149, 0) if k < 150 else (0, k) for k in range(350)}
+
+
 def test_embeddings_match_sql(spark, duck):
     assert plain(QUERIES["op10_embedding_dedup"](spark, DATA).toPandas()) == plain(duck.sql(ORACLE["op10_embedding_dedup"]).df())
 
