@@ -274,6 +274,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     # A table of its own, so that the join can split a vector that many rows hold.
     member = materialize(member.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "members", clear=True)
     remove(vectors.sparkSession, coded)
-    result = good.join(member, "embedding").select("vec_id", "n_links", "component_id")
+    # The hash comes first, so that sorts and comparisons seldom reach the vectors.
+    result = good.withColumn("hash", F.xxhash64("embedding")).join(member.withColumn("hash", F.xxhash64("embedding")), ["hash", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = other.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return result.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

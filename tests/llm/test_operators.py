@@ -572,6 +572,12 @@ def test_a_dense_group_is_compared_in_bounded_memory(table):
     assert ids.tolist() == list(range(2500)) and set(count.tolist()) == {2499} and set(root.tolist()) == {0}
 
 
+def test_embeddings_with_negative_zeros_are_equal(spark):
+    for kind in ("float", "double"):
+        rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, -0.0]), (3, [-0.0, 1.0])], f"vec_id long, embedding array<{kind}>")
+        assert sorted(map(tuple, embedding_dedup.embedding_dedup(rows).collect())) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
+
+
 @pytest.mark.parametrize(("block", "rounds"), [(64, 1 << 20), (64, 1)])
 def test_embeddings_of_many_tables_are_counted_once(spark, monkeypatch, block, rounds):
     monkeypatch.setattr(embedding_dedup, "BUCKET", 8)
