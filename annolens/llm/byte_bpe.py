@@ -2,14 +2,13 @@
 
 A text is cut into words by the tokenizer's pattern. A word's bytes, as an array of piece ids, are folded: a literal map gives
 the rank of each pair of neighbours (which is the id of what they make), and each step joins the first pair of the lowest rank
-and looks up the two pairs that this makes new, until none has a rank. Words that are frequent are folded once, as a table of
-distinct words, and become a second literal map of bounded size; all others are folded where they stand. Decoding looks
-each id's bytes up in a literal array and concatenates them.
-
-Catalyst scans a map literal from its start, so each literal map is an array of small maps, by the hash of the key.
-A fold takes steps in proportion to a word's length, each of which copies its pieces, so texts that hold LONGEST characters
-of one kind in a row go through the tiktoken library instead, whole. Which texts these are is asked of the text, so that words
-are extracted once.
+and looks up the two pairs that this makes new, until none has a rank. Distinct words that a sample of documents repeats are folded once,
+as a table, which is broadcast with a bounded number of rows. A batch of texts looks its words up in it with Arrow; each document keeps
+its distinct other words, those are folded, and their ids go where the words stood. Decoding looks each id's bytes up in a literal array and concatenates them.
+
+Catalyst scans a map literal from its start, so the literal map of pairs is an array of small maps, by the hash of the key.
+A fold takes steps in proportion to a word's length, each of which copies its pieces, so a word of LONGEST characters or more
+goes through the tiktoken library instead, that word alone.
 """
 
 from __future__ import annotations
@@ -17,27 +16,27 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
 
-from annolens.llm.base import narrow
+from annolens.llm.base import SLICE, materialize, narrow
 
 # Fixed value: the tokenizer's word pattern in Java's syntax; white space is Unicode's White_Space.
 _SPACE = r"\t-\r\x{85}\p{Z}"
 JAVA_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 LONGEST = 512
-LONG_RUN = "|".join(rf"{kind}{{{LONGEST}}}" for kind in (r"\p{L}", r"\p{N}", rf"[{_SPACE}]", rf"[^{_SPACE}\p{{L}}\p{{N}}]"))
-#: Frequent words kept as a literal map, and the documents they are looked for in, in expectation. They only save work.
-FREQUENT = 80_000
-SAMPLE_DOCS = 16_000
-#: Small maps of the literal map of words, and of that of pairs.
-BUCKETS = 1 << 14
+#: Words of the broadcast table, and the documents they are looked for in, in expectation. They only save work.
+FREQUENT = 600_000
+SAMPLE_DOCS = 128_000
+#: Small maps of the literal map of pairs.
 PAIR_BUCKETS = 65_537
 #: A state of a fold is an array of numbers: the rank of the pair that a piece opens, where the piece began, and the piece.
 PIECE, PLACE = 1 << 20, 1 << 40
@@ -55,22 +54,73 @@ def library(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks_of(path), special_tokens={})
 
 
-def _literal_map(entries: DataFrame, value: str) -> Column:
-    """A literal array of maps from entries (key string, value, n), which must be few: they pass through the driver. Large n are found first."""
-    rows = entries.select(F.pmod(F.hash("key"), F.lit(BUCKETS)).alias("b"), "key", "value", "n").collect()
-    buckets: list[dict] = [{} for _ in range(BUCKETS)]
-    for r in sorted(rows, key=lambda r: (-r["n"], r["key"])):
-        buckets[r["b"]][r["key"]] = r["value"]
-    return F.from_json(F.lit(json.dumps(buckets, ensure_ascii=False)), f"array<map<string,{value}>>")
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once: a transform of one element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _find(table: Column, key: Column) -> Column:
-    return F.try_element_at(F.get(table, F.pmod(F.hash(key), F.lit(BUCKETS))), key)
+def _flat(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """The values of all lists, none of them null, and where each list begins, and the end."""
+    at = lists.offsets.to_numpy().astype(np.int64)
+    return lists.values.slice(at[0], at[-1] - at[0]), at - at[0]
 
 
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value computed once: a transform of one element."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+def _lists(at: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), values)
+
+
+def counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n): each batch's distinct words. Batches: (words)."""
+    for batch in batches:
+        found = pc.value_counts(_flat(batch.column(0))[0])
+        yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["key", "n"])
+        pa.default_memory_pool().release_unused()
+
+
+def looked_up(words: pa.ListArray, keys: pa.Array, ids: pa.ListArray) -> Iterator[pa.StructArray]:
+    """(ids, unknown) of each document's words, some documents at a time: the ids of those among the keys, with -1 - k where its distinct unknown word k stands, and these words.
+
+    ids: those of the keys, and [-1] behind them.
+    """
+    flat, ends = _flat(words)
+    found = pc.index_in(flat, value_set=keys)
+    for first in range(0, len(words), SLICE):
+        at = ends[first : first + SLICE + 1]
+        here, of, at = flat.slice(at[0], at[-1] - at[0]), pc.fill_null(found.slice(at[0], at[-1] - at[0]), len(keys)), at - at[0]
+        taken = ids.take(of)
+        numbers = taken.values.to_numpy().copy()
+        places = np.flatnonzero(of.to_numpy() == len(keys))
+        doc = np.searchsorted(at, places, "right") - 1
+        unknown = here.take(pa.array(places)).dictionary_encode()
+        pairs = pa.array((doc << 32) | unknown.indices.to_numpy().astype(np.int64)).dictionary_encode()
+        distinct = pairs.dictionary.to_numpy()
+        begins = np.concatenate([[0], np.cumsum(np.bincount(distinct >> 32, minlength=len(at) - 1))])
+        numbers[numbers < 0] = -1 - (pairs.indices.to_numpy() - begins[doc])
+        lists = [_lists(taken.offsets.to_numpy()[at], pa.array(numbers)), _lists(begins, unknown.dictionary.take(pa.array(distinct & 0xFFFFFFFF)))]
+        yield pa.StructArray.from_arrays(lists, ["ids", "unknown"])
+
+
+def put_back(ids: pa.ListArray, folded: pa.ListArray) -> Iterator[pa.ListArray]:
+    """ids with each -1 - k replaced by what the document's unknown word k was folded to, some documents at a time."""
+    numbers, ends = _flat(ids)
+    words, begins = _flat(folded)
+    for first in range(0, len(ids), SLICE):
+        at = ends[first : first + SLICE + 1]
+        here, at = numbers.slice(at[0], at[-1] - at[0]).to_numpy(), at - at[0]
+        places = np.flatnonzero(here < 0)
+        doc = first + np.searchsorted(at, places, "right") - 1
+        taken = words.take(pa.array(begins[doc] - 1 - here[places]))
+        sizes = np.ones(len(here), np.int64)
+        sizes[places] = np.diff(taken.offsets.to_numpy())
+        out = np.repeat(here, sizes)
+        out[out < 0] = taken.values.to_numpy()
+        yield _lists(np.concatenate([[0], np.cumsum(sizes)])[at], pa.array(out))
+
+
+def as_bytes(ids: pa.ListArray) -> pa.Array:
+    """Ids as little-endian unsigned 32-bit integers."""
+    numbers, at = _flat(ids)
+    return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer((4 * at).astype(np.int32)), pa.py_buffer(numbers.to_numpy().astype("<u4"))])
 
 
 def _piece(x: Column) -> Column:
@@ -97,8 +147,7 @@ class Codec:
         for k, v in ranks.items():
             by_id[v] = k.hex()
         self.pieces = F.from_json(F.lit(json.dumps(by_id)), "array<string>")
-        self.coded = F.from_json(F.lit(json.dumps([i.to_bytes(4, "little").hex() for i in range(len(by_id))])), "array<string>")
-        self.frequent: Column | None = None
+        self.frequent = pa.table({"key": pa.array([], pa.string()), "value": pa.array([], pa.list_(pa.int32()))})
 
     def words(self, text: str) -> Column:
         return F.regexp_extract_all(text, F.lit(JAVA_PATTERN), F.lit(0))
@@ -137,25 +186,54 @@ class Codec:
         return _bound(F.array_min(state), merged)
 
     def learn(self, rows: DataFrame, total: int, *, frequent: int = FREQUENT, sample: int = SAMPLE_DOCS) -> None:
-        """Fold the most frequent words of a bounded sample of documents once, as a table of distinct words."""
+        """Fold the most frequent words of a bounded sample of documents once, as a table of distinct words: `frequent` at most, all with a count above some number."""
         span = 1 << 40
         share = int(span * min(1.0, sample / max(1, total)))
         part = rows.where(F.pmod(F.xxhash64("text"), F.lit(span)) < share)
-        counted = part.select(F.explode(self.words("text")).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
-        top = counted.where((F.octet_length("key") <= LONGEST) & (F.col("n") > 1)).orderBy(F.desc("n"), "key").limit(frequent)
-        self.frequent = _literal_map(top.repartition(self.spark.sparkContext.defaultParallelism).select("key", self.fold(F.col("key")).alias("value"), "n"), "array<int>")
-
-    def ids(self, words: Column) -> Column:
-        def each(pairs: Column) -> Column:
-            if self.frequent is None:
-                return F.transform(words, lambda w: self.fold(w, pairs))
-            return F.transform(words, lambda w: F.coalesce(_find(self.frequent, w), self.fold(w, pairs)))
-
-        return F.flatten(_bound(self.pairs, each))
-
-    def id_bytes(self, ids: str) -> Column:
-        """Ids as little-endian unsigned 32-bit integers."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.coded, i)), ""))
+        counted = part.select(self.words("text").alias("words")).mapInArrow(counted_words, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        counted = materialize(counted.where((F.char_length("key") < LONGEST) & (F.col("n") > 1)), "bpe-words", clear=True)
+        least, kept = 2, 0
+        # Counts of few documents take few values.
+        for r in counted.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toLocalIterator():
+            kept += r.words
+            if kept > frequent:
+                least = r.n + 1
+                break
+        top = counted.where(F.col("n") >= least).repartition(self.spark.sparkContext.defaultParallelism)
+        self.frequent = top.select("key", self.fold(F.col("key")).alias("value")).toArrow()
+
+    def ids(self, rows: DataFrame) -> DataFrame:
+        """(doc_id, ids, id_bytes) of rows (doc_id, text). Words that learn() has not found are folded, each distinct one of a document once."""
+        keys = self.frequent.column("key").cast(pa.string()).combine_chunks()
+        value = pa.chunked_array([*self.frequent.column("value").cast(pa.list_(pa.int32())).chunks, pa.array([[-1]], pa.list_(pa.int32()))]).combine_chunks()
+        shared = self.spark.sparkContext.broadcast((keys, value))
+        path, pattern = self.path, self.pattern
+
+        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = 0
+                for part in looked_up(batch.column(1), *shared.value):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), part.field("ids"), part.field("unknown")], ["doc_id", "ids", "unknown"])
+                    at += len(part)
+                pa.default_memory_pool().release_unused()
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                inner, begins = _flat(batch.column(3))
+                if inner.null_count:
+                    core = library(path, pattern)._core_bpe
+                    pairs = zip(_flat(batch.column(2))[0].to_pylist(), inner.to_pylist(), strict=True)
+                    inner = pa.array([core.encode_single_piece(word.encode()) if x is None else x for word, x in pairs], pa.list_(pa.int32()))
+                at = 0
+                for ids in put_back(batch.column(1), _lists(begins, inner)):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(ids)), ids, as_bytes(ids)], ["doc_id", "ids", "id_bytes"])
+                    at += len(ids)
+                pa.default_memory_pool().release_unused()
+
+        schema = StructType([rows.schema["doc_id"], StructField("ids", ArrayType(IntegerType())), StructField("unknown", ArrayType(StringType()))])
+        found = rows.select("doc_id", self.words("text").alias("words")).mapInArrow(look_up, schema)
+        short = lambda pairs: F.transform("unknown", lambda w: F.when(F.char_length(w) < LONGEST, self.fold(w, pairs)))
+        return found.withColumn("folded", _bound(self.pairs, short)).mapInArrow(whole, StructType([*schema[:2], StructField("id_bytes", BinaryType())]))
 
     def decode(self, ids: str) -> Column:
         """The bytes that ids stand for."""
@@ -163,7 +241,7 @@ class Codec:
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", *, frequent: int = FREQUENT) -> tuple[DataFrame, Codec]:
-    """(doc_id, ids array<int>), one row for each input row, and the codec that decodes them.
+    """(doc_id, ids array<int>, id_bytes: the same as little-endian unsigned 32-bit integers), one row for each input row, and the codec that decodes them.
 
     Null and empty texts have no ids. Ids of documents are carried as they are, null and repeated ones too.
     """
@@ -172,14 +250,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     if frequent:
         codec.learn(rows, rows.count(), frequent=frequent)
 
-    @F.arrow_udf("array<int>")
-    def whole(texts: pa.Array) -> pa.Array:
-        coder = library(path, pattern)
-        return pa.array([None if x is None else coder.encode_ordinary(x) for x in texts.to_pylist()], pa.list_(pa.int32()))
-
-    # Python sees the long texts alone, and no second branch of the plan carries the literals once more.
-    marked = rows.withColumn("whole", whole(F.when(F.col("text").rlike(LONG_RUN), F.col("text"))))
-    return marked.select("doc_id", F.coalesce("whole", codec.ids(codec.words("text"))).alias("ids")), codec
+    return codec.ids(rows), codec
 
 
 def bpe_digest(encoded: DataFrame, codec: Codec) -> DataFrame:
@@ -187,7 +258,7 @@ def bpe_digest(encoded: DataFrame, codec: Codec) -> DataFrame:
     return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(codec.id_bytes("ids"), 256).alias("ids_sha256"),
+        F.sha2("id_bytes", 256).alias("ids_sha256"),
         F.sha2(codec.decode("ids"), 256).alias("decoded_sha256"),
     )
 

@@ -13,6 +13,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -533,6 +534,20 @@ def test_byte_bpe_is_tiktokens(spark, odd, frequent):
     assert got == Counter((i, *byte_bpe.digest_of(t or "", BYTE, public_tokenizers.PATTERN)) for i, t in rows)
 
 
+def test_byte_bpe_folds_a_repeated_word_once(spark):
+    """Words beyond the 80,000 most frequent ones are folded in the table too, a document's others once each, and of a text with a long run only that run goes elsewhere."""
+    repeated = [f" {chr(97 + k % 26)}{k:06d}".translate(str.maketrans("0123456789", "bcdfghjklm")) for k in range(90_000)]
+    rows = [(k, "".join(repeated[k : k + 3000]) * 2) for k in range(0, 90_000, 3000)] + [(-1, " quzzix" * 3 + " " + "-" * 600 + " vorplex"), (-2, None), (None, "")]
+    docs = docs_of(spark, rows)
+    coded, codec = byte_bpe.encode(docs, BYTE, public_tokenizers.PATTERN)
+    assert {*repeated, " quzzix"} <= set(codec.frequent.column("key").to_pylist())
+    got = Counter(tuple(r) for r in byte_bpe.bpe_digest(coded, codec).collect())
+    assert got == Counter((i, *byte_bpe.digest_of(t or "", BYTE, public_tokenizers.PATTERN)) for i, t in rows)
+    words = pa.array([[" a", " x", " y", " x"], [], [" y", " y", " a"]])
+    (found,) = byte_bpe.looked_up(words, pa.array([" a"]), pa.array([[5, 6], [-1]], pa.list_(pa.int32())))
+    assert found.to_pylist() == [{"ids": [5, 6, -1, -2, -1], "unknown": [" x", " y"]}, {"ids": [], "unknown": []}, {"ids": [-1, -1, 5, 6], "unknown": [" y"]}]
+
+
 def slow_links(vectors, threshold=0.9):
     units = embedding_dedup.unit(vectors.astype(np.float32).astype(np.float64))
     hit = units @ units.T >= threshold
