@@ -57,14 +57,22 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list
         yield list(langs), words, np.concatenate(of)
 
 
+def _numbered(keys: np.ndarray) -> np.ndarray:
+    """Numbers from 0 of the distinct keys, one for each key: by hash, which is faster than sorting where few are distinct."""
+    return pa.array(keys).dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
 def _counted(block: tuple[list[str], list[bytes], np.ndarray], memory: Words, k: int, bits: np.ndarray | None) -> pa.RecordBatch:
     """(lang, phrase, n) of a block's phrases of k words whose parts of k - 1 words both have their bit set."""
     langs, words, lang = block
-    numbers = memory.numbers(words)
-    word = numbers != memory[b"."]
+    # Only a block's distinct words become Python objects again, and only where they are hashed.
+    text = pa.array(words, pa.large_binary()).dictionary_encode()
+    known, own = text.dictionary, text.indices.to_numpy().astype(np.int64)
+    word = own != known.index(pa.scalar(b".", pa.large_binary())).as_py()
     starts = word.copy()
     if k > 1:
         # The hash of a phrase goes on from that of its language.
+        numbers = memory.numbers(known.to_pylist())[own]
         heads = np.array([zlib.crc32(x.encode()) for x in langs], np.uint32)
         run = memory.joined(heads[lang], numbers)
         for j in range(1, k - 1):
@@ -80,11 +88,13 @@ def _counted(block: tuple[list[str], list[bytes], np.ndarray], memory: Words, k:
     # A phrase's number so far and its next word make the number of the longer phrase: exact, and below 2^32 each.
     group = lang[places]
     for j in range(k):
-        _, group = np.unique((group << 32) | numbers[places + j], return_inverse=True)
-    _, first, n = np.unique(group, return_index=True, return_counts=True)
-    at = places[first]
-    text = pa.array(words, pa.large_binary())
-    parts = [text.take(pa.array(at + j)) for j in range(k)]
+        keys = (group << 32) | own[places + j]
+        group = np.unique(keys, return_inverse=True)[1] if j else _numbered(keys)
+    n = np.bincount(group)
+    # Any place of a phrase will do.
+    at = np.zeros(len(n), np.int64)
+    at[group] = places
+    parts = [known.take(pa.array(own[at + j])) for j in range(k)]
     phrase = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())) if k > 1 else parts[0]
     return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()).take(pa.array(lang[at])), phrase.cast(pa.large_string()).cast(pa.string()), pa.array(n, pa.int64())], ["lang", "phrase", "n"])
 

@@ -207,6 +207,18 @@ def test_collocations_are_brute_force(spark, documents, least, top, slots, block
     assert sorted(map(tuple, got)) == sorted(slow_collocations(rows, least, 80, top))
 
 
+def test_a_block_asks_for_its_distinct_words_only(monkeypatch):
+    """A block's words are told apart in Arrow; Python hashes each distinct one once, and none to count words."""
+    asked = []
+    monkeypatch.setattr(crc.Words, "numbers", lambda self, words, numbers=crc.Words.numbers: asked.append(len(words)) or numbers(self, words))
+    words = [b"a", b"b", b"c", b"."] * 500 + [b"a", b"b", b"."]
+    block, bits = (["en", "de"], words, np.repeat([0, 1], [2000, 3])), np.full(1 << 17, 255, np.uint8)
+    rows = lambda k: Counter({(r["lang"], r["phrase"]): r["n"] for r in collocations._counted(block, crc.Words(), k, bits if k > 1 else None).to_pylist()})
+    assert rows(1) == Counter({("en", "a"): 500, ("en", "b"): 500, ("en", "c"): 500, ("de", "a"): 1, ("de", "b"): 1}) and asked == []
+    assert rows(2) == Counter({("en", "a b"): 500, ("en", "b c"): 500, ("de", "a b"): 1})
+    assert rows(3) == Counter({("en", "a b c"): 500}) and asked == [4, 4]
+
+
 def test_collocations_odd_rows(spark, odd_docs):
     assert collocations.collocations(odd_docs).count() == len(slow_collocations([(t, "en") for _, t in ODD], 30, 80, 2000))
     assert collocations.collocations(odd_docs.limit(0)).count() == 0
