@@ -72,7 +72,7 @@ def _counted(block: tuple[list[str], list[bytes], np.ndarray], memory: Words, k:
     starts = word.copy()
     if k > 1:
         # The hash of a phrase goes on from that of its language.
-        numbers = memory.numbers(known.to_pylist())[own]
+        numbers = memory.numbers(known.to_numpy(zero_copy_only=False).tolist())[own]
         heads = np.array([zlib.crc32(x.encode()) for x in langs], np.uint32)
         run = memory.joined(heads[lang], numbers)
         for j in range(1, k - 1):
